@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder as Parquet and read again: lineage is cut, columns are compressed and pruned."""
+    folder = f"{prepare(df.sparkSession).sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     return prepare(
         SparkSession.builder.master(f"local[{cores}]")
