@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boutlog.llm import decontam, line_dedup, near_dedup, packing, quality_rules
 from boutlog.llm.queries import tokenizer_path
-from boutlog.session import prepare
+from boutlog.session import prepare, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their group's thresholds; the others go."""
-    measured = quality_rules.measure(docs)
+    measured = stored(quality_rules.measure(docs))  # measured once: both the thresholds and the verdicts read it
     judged = quality_rules.judge(measured, quality_rules.thresholds(measured))
     return judged.where("kept").select(*docs.columns)
 
