@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -29,7 +30,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows go to the shared folder, so a lost executor costs no recomputation."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # what the rows were made from is no longer reachable: let Spark's cleaner free its shuffle files and older checkpoints now
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
