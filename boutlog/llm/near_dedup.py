@@ -34,7 +34,8 @@ from boutlog.llm.textkit import Block, mix, shingle_sets, texts
 from boutlog.session import cut
 
 M, R, K, PERCENT = 8, 2, 5, 85
-_SEEDS = mix(np.arange(101, 101 + 4 * M * R, dtype=np.uint64))
+FILTER_PARTS = 256
+_SEEDS = mix(np.arange(101, 101 + 4096, dtype=np.uint64))
 
 
 def half_keys(sets: list[np.ndarray], m: int = M, r: int = R) -> np.ndarray:
@@ -89,6 +90,19 @@ def _table_keys(m: int) -> Column:
     return F.explode(F.array(*pairs))
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose id may be among ids: all that are, and few others.
+
+    A bitmap of hashed ids, of FILTER_PARTS rows of 4 kB whatever the number of ids, is broadcast; texts of other
+    documents are dropped where they are read and take no part in a shuffle.
+    """
+    part, place = (lambda d: F.shiftright(F.pmod(F.xxhash64(d), F.lit(FILTER_PARTS << 15)), 15)), (lambda d: F.pmod(F.xxhash64(d), F.lit(1 << 15)))
+    bits = ids.groupBy(part("doc").alias("_part")).agg(F.bitmap_construct_agg(place("doc")).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    tried = docs.withColumns({"_part": part("doc"), "_place": place("doc")}).join(F.broadcast(bits), "_part")
+    return tried.where(F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int")) == 1).select(*docs.columns)
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """fam, c, x, rest -> those, and n, linked, and rest without the centre's shingles. rest null: the whole set."""
     left = pairs.join(sets.select(F.col("doc").alias("x"), F.col("s").alias("xs")), "x")
@@ -103,8 +117,8 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, m: int = M, k:
     bucket = table.groupBy("key").agg(F.min("doc").alias("c"), F.max("doc").alias("z")).where("c < z").select("key", "c")
     pairs = cut(table.join(bucket, "key").where("doc <> c").select("c", F.col("doc").alias("x")).distinct())
     ids = pairs.select(F.col("c").alias("doc")).union(pairs.select(F.col("x").alias("doc"))).distinct()
-    wanted = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(ids, "doc", "left_semi")
-    sets = cut(full_sets(wanted, "doc", "text", k).dropDuplicates(["doc"]))
+    wanted = _among(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), ids)
+    sets = cut(full_sets(wanted, "doc", "text", k).join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
     slack = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
     state = pairs.select(F.col("c").alias("fam"), "c", "x", F.lit(None).cast("array<bigint>").alias("rest"))
     found = None
