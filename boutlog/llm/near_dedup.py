@@ -104,11 +104,16 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """fam, c, x, rest -> those, and n, linked, and rest without the centre's shingles. rest null: the whole set."""
-    left = pairs.join(sets.select(F.col("doc").alias("x"), F.col("s").alias("xs")), "x")
+    """fam, c, x, n, rest, sure -> fam, c, x, n, linked, and rest without the centre's shingles.
+
+    Pairs that are sure (both linked with one document already) need no comparison, so only their rests travel.
+    rest null: the whole set; n null: not known yet.
+    """
+    open_ = pairs.where("NOT sure").drop("n").join(sets.select(F.col("doc").alias("x"), F.col("s").alias("xs")), "x")
+    left = open_.withColumn("n", F.size("xs")).unionByName(pairs.where("sure").withColumn("xs", F.lit(None).cast("array<bigint>")))
     both = left.join(sets.select(F.col("doc").alias("c"), F.col("s").alias("cs")), "c")
-    both = both.select("fam", "c", "x", F.size("xs").alias("n"), F.size("cs").alias("nc"), F.size(F.array_intersect("xs", "cs")).alias("a"), F.array_except(F.coalesce("rest", "xs"), F.col("cs")).alias("rest"))
-    return both.select("fam", "c", "x", "n", (F.col("a") * 100 >= (F.col("n") + F.col("nc") - F.col("a")) * percent).alias("linked"), "rest")
+    both = both.select("fam", "c", "x", "n", "sure", F.size("cs").alias("nc"), F.size(F.array_intersect("xs", "cs")).alias("a"), F.array_except(F.coalesce("rest", "xs"), F.col("cs")).alias("rest"))
+    return both.select("fam", "c", "x", "n", (F.col("sure") | (F.col("a") * 100 >= (F.col("n") + F.col("nc") - F.col("a")) * percent)).alias("linked"), "rest")
 
 
 def links(reps: DataFrame, docs: DataFrame, key: str, text: str, m: int = M, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -119,8 +124,9 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, m: int = M, k:
     ids = pairs.select(F.col("c").alias("doc")).union(pairs.select(F.col("x").alias("doc"))).distinct()
     wanted = _among(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), ids)
     sets = cut(full_sets(wanted, "doc", "text", k).join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
+    unknown = F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<bigint>").alias("rest"), F.lit(False).alias("sure")
     slack = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
-    state = pairs.select(F.col("c").alias("fam"), "c", "x", F.lit(None).cast("array<bigint>").alias("rest"))
+    state = pairs.select(F.col("c").alias("fam"), "c", "x", *unknown)
     found = None
     for level in range(1000):
         tested = cut(_compare(state, sets, percent))
@@ -132,17 +138,17 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, m: int = M, k:
             lone = tested.where(stuck).select("fam", "c", "x", "n")
             mates = tested.select("fam", "c", F.col("x").alias("y"), F.col("n").alias("ny"))
             near = lone.join(mates, ["fam", "c"]).where((F.col("x") != F.col("y")) & (F.col("n") * percent <= F.col("ny") * 100) & (F.col("ny") * percent <= F.col("n") * 100))
-            near = near.select(F.lit(0).cast("long").alias("fam"), F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x"), F.lit(None).cast("array<bigint>").alias("rest")).distinct()
+            near = near.select(F.lit(0).cast("long").alias("fam"), F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x")).distinct().select("*", *unknown)
             new = new.union(_compare(near, sets, percent).where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")))
         found = new if found is None else found.union(new)
         if not kinds[0]:
             break
         open_families = tested.where(far).select("fam", "c").distinct()
-        meets = tested.join(open_families, ["fam", "c"], "left_semi").select(F.xxhash64("fam", "c").alias("fam"), "x", "rest", far.alias("far"), F.explode(F.slice("rest", 1, slack + 1)).alias("token"))
-        group = meets.groupBy("fam", "token").agg(F.min("x").alias("c"), F.max("x").alias("z"), F.max("far").alias("any")).where("c < z AND any").select("fam", "token", "c")
-        state = meets.select("fam", "token", "x").join(group, ["fam", "token"]).where("x <> c").select("fam", "c", "x").distinct()
-        rests = tested.select(F.xxhash64("fam", "c").alias("fam"), "x", "rest")
-        state = cut(state.join(rests, ["fam", "x"]).select("fam", "c", "x", "rest"))
+        meets = tested.join(open_families, ["fam", "c"], "left_semi").select(F.xxhash64("fam", "c").alias("fam"), "x", "linked", far.alias("far"), F.explode(F.slice("rest", 1, slack + 1)).alias("token"))
+        group = meets.groupBy("fam", "token").agg(F.min(F.struct("x", "linked")).alias("c"), F.max("x").alias("z"), F.max("far").alias("any")).where("c.x < z AND any").select("fam", "token", "c")
+        state = meets.select("fam", "token", "x", "linked").join(group, ["fam", "token"]).where("x <> c.x").select("fam", F.col("c.x").alias("c"), "x", (F.col("linked") & F.col("c.linked")).alias("sure")).distinct()
+        rests = tested.select(F.xxhash64("fam", "c").alias("fam"), "x", "n", "rest")
+        state = cut(state.join(rests, ["fam", "x"]).select("fam", "c", "x", "n", "rest", "sure"))
         if state.isEmpty():
             break
     return found.distinct()
