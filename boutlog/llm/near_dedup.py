@@ -104,16 +104,17 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """fam, c, x, n, rest, sure -> fam, c, x, n, linked, and rest without the centre's shingles.
+    """fam, c, x, n, rest, known -> fam, c, x, n, linked, and rest without the centre's shingles.
 
-    Pairs that are sure (both linked with one document already) need no comparison, so only their rests travel.
-    rest null: the whole set; n null: not known yet.
+    known 1: both are linked with one document already; -1: the sizes rule a link out. Such pairs need no comparison, so only
+    their rests travel. rest null: the whole set; n null: not known yet.
     """
-    open_ = pairs.where("NOT sure").drop("n").join(sets.select(F.col("doc").alias("x"), F.col("s").alias("xs")), "x")
-    left = open_.withColumn("n", F.size("xs")).unionByName(pairs.where("sure").withColumn("xs", F.lit(None).cast("array<bigint>")))
+    open_ = pairs.where("known = 0").drop("n").join(sets.select(F.col("doc").alias("x"), F.col("s").alias("xs")), "x")
+    left = open_.withColumn("n", F.size("xs")).unionByName(pairs.where("known <> 0").withColumn("xs", F.lit(None).cast("array<bigint>")))
     both = left.join(sets.select(F.col("doc").alias("c"), F.col("s").alias("cs")), "c")
-    both = both.select("fam", "c", "x", "n", "sure", F.size("cs").alias("nc"), F.size(F.array_intersect("xs", "cs")).alias("a"), F.array_except(F.coalesce("rest", "xs"), F.col("cs")).alias("rest"))
-    return both.select("fam", "c", "x", "n", (F.col("sure") | (F.col("a") * 100 >= (F.col("n") + F.col("nc") - F.col("a")) * percent)).alias("linked"), "rest")
+    both = both.select("fam", "c", "x", "n", "known", F.size("cs").alias("nc"), F.size(F.array_intersect("xs", "cs")).alias("a"), F.array_except(F.coalesce("rest", "xs"), F.col("cs")).alias("rest"))
+    found = F.when(F.col("known") == 0, F.col("a") * 100 >= (F.col("n") + F.col("nc") - F.col("a")) * percent).otherwise(F.col("known") == 1)
+    return both.select("fam", "c", "x", "n", found.alias("linked"), "rest")
 
 
 def links(reps: DataFrame, docs: DataFrame, key: str, text: str, m: int = M, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -124,7 +125,7 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, m: int = M, k:
     ids = pairs.select(F.col("c").alias("doc")).union(pairs.select(F.col("x").alias("doc"))).distinct()
     wanted = _among(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), ids)
     sets = cut(full_sets(wanted, "doc", "text", k).join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
-    unknown = F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<bigint>").alias("rest"), F.lit(False).alias("sure")
+    unknown = F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<bigint>").alias("rest"), F.lit(0).alias("known")
     slack = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
     state = pairs.select(F.col("c").alias("fam"), "c", "x", *unknown)
     found = None
@@ -144,11 +145,14 @@ def links(reps: DataFrame, docs: DataFrame, key: str, text: str, m: int = M, k:
         if not kinds[0]:
             break
         open_families = tested.where(far).select("fam", "c").distinct()
-        meets = tested.join(open_families, ["fam", "c"], "left_semi").select(F.xxhash64("fam", "c").alias("fam"), "x", "linked", far.alias("far"), F.explode(F.slice("rest", 1, slack + 1)).alias("token"))
-        group = meets.groupBy("fam", "token").agg(F.min(F.struct("x", "linked")).alias("c"), F.max("x").alias("z"), F.max("far").alias("any")).where("c.x < z AND any").select("fam", "token", "c")
-        state = meets.select("fam", "token", "x", "linked").join(group, ["fam", "token"]).where("x <> c.x").select("fam", F.col("c.x").alias("c"), "x", (F.col("linked") & F.col("c.linked")).alias("sure")).distinct()
+        meets = tested.join(open_families, ["fam", "c"], "left_semi").select(F.xxhash64("fam", "c").alias("fam"), "x", "linked", "n", far.alias("far"), F.explode(F.slice("rest", 1, slack + 1)).alias("token"))
+        group = meets.groupBy("fam", "token").agg(F.min(F.struct("x", "linked", "n")).alias("c"), F.max("x").alias("z"), F.max("far").alias("any")).where("c.x < z AND any").select("fam", "token", "c")
+        met = meets.select("fam", "token", "x", "linked", F.col("n").alias("nx")).join(group, ["fam", "token"]).where("x <> c.x")
+        apart = (F.col("nx") * 100 < F.col("c.n") * percent) | (F.col("c.n") * 100 < F.col("nx") * percent)
+        known = F.when(F.col("linked") & F.col("c.linked"), 1).when(apart, -1).otherwise(0)
+        state = met.select("fam", F.col("c.x").alias("c"), "x", known.alias("known")).distinct()
         rests = tested.select(F.xxhash64("fam", "c").alias("fam"), "x", "n", "rest")
-        state = cut(state.join(rests, ["fam", "x"]).select("fam", "c", "x", "n", "rest", "sure"))
+        state = cut(state.join(rests, ["fam", "x"]).select("fam", "c", "x", "n", "rest", "known"))
         if state.isEmpty():
             break
     return found.distinct()
