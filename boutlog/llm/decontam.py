@@ -111,6 +111,8 @@ class Index:
         row, origin = np.zeros(m + 1, np.int64), column.copy()
         for j, c in enumerate(x.tolist(), 1):
             lo, hi = max(0, low - e - left + j - 1), min(m, high + e - left + j + 1)
+            if hi < lo:  # the band leaves the text: more edits than the budget
+                return None
             new = np.full(m + 1, len(x) + m, np.int64)
             new_origin = origin.copy()
             across = row[lo:hi] + (part[lo:hi] != c)
