@@ -31,7 +31,10 @@ BROADCAST_ROWS = 20_000
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the five counts, base_failed and the shares of FLOORS."""
+    """docs with the five counts, base_failed and the shares of FLOORS.
+
+    Cut or store the result before filtering on it: a filter pushed below the measures would evaluate them again and again.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(F.translate(t, SPACE, " " * len(SPACE)), " "), lambda x: x != "")
     step = docs.drop(*COUNTS, *FLOORS, "base_failed").withColumn("_w", words)
