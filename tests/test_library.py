@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df):
     df = df.toPandas() if hasattr(df, "toPandas") else df
-    text = lambda v: "null" if v is None or v != v else f"{v:.5f}" if isinstance(v, float) else str(v)[:10] if hasattr(v, "year") else str(int(v)) if hasattr(v, "__index__") else str(v)
+    text = lambda v: "null" if pd.isna(v) else str(v)[:10] if hasattr(v, "year") else v if isinstance(v, str) else f"{float(v):.5f}"
     return sorted(tuple(text(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
