@@ -1,12 +1,14 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 A text's lines (split at \\n, compared trimmed of ASCII white space and lower-cased) with a word are
-numbered. A window is the shortest run of lines, from any line on, that has ``min_words`` words; the least
-line hash of each window (the last of equals) is a fingerprint. Two texts that share a run of lines of
-``min_words`` words share a whole window and so a fingerprint: no such run is missed. Each fingerprint is
-joined with its first position in the corpus (by doc_id, then place), the match is extended over equal
-lines both ways, and a run of at least ``min_words`` words is deleted where it stands later. A line goes only if
-an equal one stands earlier, so the first of equal lines always stays.
+numbered. A window is the shortest run of lines, from any line on or up to any line, that has ``min_words``
+words; its least line hash (the last of equals) is its fingerprint. Windows whose fingerprint stands at one
+place only are dropped; the others are joined, on a hash of all their line hashes, with the first position
+of that hash in the corpus (by doc_id, then place), and the lines of a window that stands later are deleted.
+
+Equal windows are a proven run, and every line of a run of ``min_words`` words is in a window that begins or
+ends within the run and lies inside it: no such run is missed, whatever other texts hold its fingerprint. A
+line goes only if an equal one stands earlier, so the first of equal lines always stays.
 
 Texts are read once for hashes and once for the rewrite; what is shuffled between are hashes and counts.
 
@@ -40,32 +42,39 @@ def _rid(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """rid, doc, pos, h of the fingerprints of a line table; pos counts lines with a word."""
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """rid, doc, pos, size, h, f, at: each window of a line table once; h is the hash of all its line hashes.
+
+    f is the window's fingerprint and at its place; pos, size and at count lines with a word.
+    """
     flat = lines.select("rid", "doc", F.posexplode("ls").alias("pos", "z")).select("rid", "doc", "pos", "z.h", "z.w")
-    by = Window.partitionBy("rid").orderBy("pos")
-    flat = flat.withColumn("cum", F.sum("w").over(by) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy("rid")))
+    flat = flat.withColumn("upto", F.sum("w").over(Window.partitionBy("rid").orderBy("pos"))).withColumn("cum", F.col("upto") - F.col("w"))
+    flat = flat.withColumn("all", F.sum("w").over(Window.partitionBy("rid")))
     ahead = Window.partitionBy("rid").orderBy("cum").rangeBetween(0, min_words - 1)
-    picked = flat.withColumn("m", F.min(F.struct("h", (-F.col("pos")).alias("p"))).over(ahead)).where(F.col("all") - F.col("cum") >= min_words)
-    return picked.select("rid", "doc", (-F.col("m.p")).alias("pos"), F.col("m.h").alias("h")).distinct()
+    behind = Window.partitionBy("rid").orderBy("upto").rangeBetween(1 - min_words, 0)
+    flat = flat.withColumn("ahead", F.collect_list("h").over(ahead)).withColumns({"behind": F.collect_list("h").over(behind), "before": F.min("cum").over(behind)})
+    # a backward window that is too short without its last line is a forward window too
+    windows = F.array(
+        F.when(F.col("all") - F.col("cum") >= min_words, F.struct("pos", F.col("ahead").alias("hs"))),
+        F.when(F.col("cum") - F.col("before") >= min_words, F.struct((F.col("pos") - F.size("behind") + 1).alias("pos"), F.col("behind").alias("hs"))),
+    )
+    each = flat.select("rid", "doc", F.explode(F.filter(windows, lambda x: x.isNotNull())).alias("z")).select("rid", "doc", "z.pos", "z.hs", F.array_min("z.hs").alias("f"))
+    last = F.size("hs") - F.array_position(F.reverse("hs"), F.col("f"))
+    return each.select("rid", "doc", "pos", F.size("hs").alias("size"), F.xxhash64("hs").alias("h"), "f", (F.col("pos") + last).cast("int").alias("at"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """rid, gone (places of the lines to delete), gone_words, runs (how many other texts they were found in)."""
+    """rid, gone (places of the lines to delete), gone_words, runs (in how many texts they stand first)."""
     lines = cut(line_table(docs, key, text))
-    prints = cut(fingerprints(lines, min_words))
-    first = prints.groupBy("h").agg(F.min(F.struct("doc", "rid", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
-    match = prints.join(first, "h").where(~((F.col("rid") == F.col("f.rid")) & (F.col("pos") == F.col("f.pos"))))
-    match = match.select("rid", F.col("f.rid").alias("other"), (F.col("pos") - F.col("f.pos")).alias("shift")).distinct()
-    there = lines.select(F.col("rid").alias("other"), F.transform("ls", lambda x: x["h"]).alias("os"))
-    both = match.join(lines.select("rid", "ls"), "rid").join(there, "other")
-    paired = F.transform("ls", lambda x, k: F.struct(k.alias("k"), x["i"].alias("i"), x["w"].alias("w"), F.when(k >= F.col("shift"), F.get("os", k - F.col("shift"))).eqNullSafe(x["h"]).alias("same")))
-    equal = both.select("rid", "other", "shift", F.explode(F.filter(paired, lambda x: x["same"])).alias("z")).select("rid", "other", "shift", "z.k", "z.i", "z.w")
-    diagonal = Window.partitionBy("rid", "other", "shift")
-    runs = equal.withColumn("run", F.col("k") - F.row_number().over(diagonal.orderBy("k")))
-    runs = runs.withColumn("words", F.sum("w").over(Window.partitionBy("rid", "other", "shift", "run"))).where(F.col("words") >= min_words)
-    once = runs.groupBy("rid", "i").agg(F.max("w").alias("w"), F.min("other").alias("other"))
-    return once.groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("gone"), F.sum("w").alias("gone_words"), F.count_distinct("other").alias("runs"))
+    every = cut(windows(lines, min_words))
+    place = F.xxhash64("rid", "at")
+    prints = every.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a < z").select("f")
+    likely = cut(every.join(prints, "f", "left_semi").select("rid", "doc", "pos", "size", "h"))
+    first = likely.groupBy("h").agg(F.min(F.struct("doc", "rid", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    later = likely.join(first, "h").where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
+    spans = later.groupBy("rid").agg(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("spans"), F.count_distinct("first.rid").alias("runs"))
+    lost = spans.join(lines.select("rid", "ls"), "rid").select("rid", "runs", F.transform(F.array_distinct(F.flatten("spans")), lambda k: F.get("ls", k)).alias("lost"))
+    return lost.select("rid", F.sort_array(F.transform("lost", lambda x: x["i"])).alias("gone"), F.aggregate("lost", F.lit(0).cast("long"), lambda n, x: n + x["w"]).alias("gone_words"), "runs")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

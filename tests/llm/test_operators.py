@@ -215,3 +215,39 @@ def test_line_dedup(docs, empty):
                 first[low(line.strip())] += 1
     assert max(first.values()) == 1
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def brute_line_dedup(texts):
+    """Places to delete: lines of a run of 50 words or more that stands earlier, in the order of ids and lines; all positions compared."""
+    lines = {i: [(p, low(x.strip()), len(WORD.findall(x))) for p, x in enumerate(t.split("\n")) if WORD.search(x)] for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    for i, mine in lines.items():
+        for j, other in lines.items():
+            for shift in range(1 - len(other), len(mine)):
+                if j > i or (j == i and shift <= 0):
+                    continue
+                run = []
+                for k in range(len(mine) + 1):
+                    if k < len(mine) and 0 <= k - shift < len(other) and mine[k][1] == other[k - shift][1]:
+                        run.append(mine[k])
+                        continue
+                    if sum(w for _, _, w in run) >= 50:
+                        gone[i] |= {p for p, _, _ in run}
+                    run = []
+    return {i: sorted(x) for i, x in gone.items()}
+
+
+def test_line_dedup_where_the_first_holder_of_a_line_lacks_the_run(spark):
+    run = [prose(12) for _ in range(6)]
+    texts = {i: prose(30) + "\n" + line for i, line in enumerate(run)}  # each line of the run first stands alone
+    texts[10], texts[11] = "\n".join([prose(9), *run, prose(9)]), "\n".join([prose(9), *run])
+    pool = [prose(RND.choice([1, 3, 9, 20, 55])) for _ in range(40)]
+    for i in range(20, 80):  # pieces of one sequence of uneven lines, so that runs end anywhere
+        parts = [pool[a : a + RND.randrange(1, 14)] + [prose(4)] * RND.randrange(2) for a in (RND.randrange(40), RND.randrange(40))]
+        texts[i] = "\n".join(parts[0] + parts[1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_line_dedup(texts)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert want[11] == [1, 2, 3, 4, 5, 6] and not want[10]
+    for i, t in texts.items():
+        assert got[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[i]) and got[i].removed_lines == len(want[i])
