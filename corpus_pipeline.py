@@ -29,16 +29,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a hash of the whole row: rows of one key are equal, whatever their ids; null differs from any value."""
+    return docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least doc_id) of each group of near duplicates; rows of one id count once."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document (the least doc_id, null last) of each group of near duplicates; equal rows count once."""
+    rows = keyed(docs)
+    label = near_dedup.near_duplicates(rows, "_row").select("_row", "component_id").distinct()
+    named = rows.select("_row", "doc_id").distinct().join(label, "_row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row")).alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row").select("_row").distinct()
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
