@@ -14,7 +14,7 @@
 * Components of the links come from star contraction.
 
 Two different texts that meet the threshold are missed only if they share no table bucket: below
-0.0001 at a similarity of exactly 0.85 with m = 8, r = 2.
+0.0001 at a similarity of exactly 0.85 with m = 8, r = 2, and below 0.0006 at exactly 0.80, which the pipeline asks for.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Repeated rows
 of one id share its component; rows without id take the component of their class, and are kept only

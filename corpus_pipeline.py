@@ -16,6 +16,10 @@ from boutlog.llm.queries import tokenizer_path
 from boutlog.session import prepare, stored
 
 
+#: Least similarity, in hundredths, of near duplicates on word shingles; only op5_near_dedup takes 85.
+NEAR_PERCENT = 80
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their group's thresholds; the others go."""
     measured = stored(quality_rules.measure(docs))  # measured once: both the thresholds and the verdicts read it
@@ -37,7 +41,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least doc_id, null last) of each group of near duplicates; equal rows count once."""
     rows = keyed(docs)
-    label = near_dedup.near_duplicates(rows, "_row").select("_row", "component_id").distinct()
+    label = near_dedup.near_duplicates(rows, "_row", percent=NEAR_PERCENT).select("_row", "component_id").distinct()
     named = rows.select("_row", "doc_id").distinct().join(label, "_row")
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row")).alias("least")).select("least._row")
     return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -22,3 +22,13 @@ def test_stages_keep_rows_without_id_and_all_texts_of_one_id(spark, tmp_path):
     assert rows((r.doc_id, r.text) for r in got) == rows(clean + leaks)
     got = corpus_pipeline.drop_contaminated(spark, df(clean + leaks), str(tmp_path)).select("doc_id", "text").collect()
     assert rows((r.doc_id, r.text) for r in got) == rows(clean)
+
+
+def test_near_copies_from_a_similarity_of_0_80_go(spark, tmp_path):
+    words = prose(120).split()
+    near, far = list(words), list(words)
+    for w, places in ((near, (30, 80)), (far, (20, 40, 60, 80, 100))):  # 106 of 126 shingles, 91 of 141
+        for k in places:
+            w[k] = "changed%d" % k
+    df = spark.createDataFrame([(i, " ".join(w), None, None, 1) for i, w in enumerate((words, near, far))], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect()) == [0, 2]
