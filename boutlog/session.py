@@ -1,4 +1,4 @@
-"""Session helpers: import path of Python workers, checkpoint folder, a local session for tests."""
+"""Session helpers: import path of Python workers, the shared folder and rows written there, a local session for tests."""
 
 from __future__ import annotations
 
@@ -11,22 +11,30 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers and a checkpoint folder known.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is; only where it is unset (tests) a
-    temporary one is taken.
+    The folder named by ``spark.checkpoint.dir`` is used as it is. Where it is unset, a temporary one is taken in
+    local mode (tests); on a cluster its executors would not share it, so that is an error.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boutlog-ckpt-"))
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for rows between jobs."""
+    return prepare(spark).sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows go to the shared folder, so a lost executor costs no recomputation."""
     prepare(df.sparkSession)
@@ -38,10 +46,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder as Parquet and read again: lineage is cut, columns are compressed and pruned."""
-    folder = f"{prepare(df.sparkSession).sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    """The rows written to the shared folder as Parquet and read again: lineage is cut, columns are compressed and pruned.
+
+    The shuffle files of the job that writes them are removed when it ends; discard() removes the rows.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._stored_in = folder
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the rows of stored() frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_in)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
