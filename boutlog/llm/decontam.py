@@ -1,18 +1,20 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 An alignment of a benchmark item of n characters with at most e edits leaves at least
-n - q + 1 - q * e of its q-grams whole, and all of them lie within e diagonals of each other. Shared
-q-grams are counted in overlapping bands of 2 * e diagonals (a band begins every e diagonals, so any
-alignment lies inside one); bands that reach the bound become regions, and a region is kept where a
-banded alignment of the item to any part of it needs at most e edits, e = floor(max_rate * n). For items
-too short for that bound e is lowered to the largest that still leaves one q-gram.
+n - q + 1 - q * e of its q-grams whole, and all of them lie within e diagonals of each other. The item's
+q-grams that a text shares are counted in overlapping bands of 2 * e diagonals (a band begins every e
+diagonals, so any alignment lies inside one), each place of the item once; bands that reach the bound become
+regions, and a region is kept where a banded alignment of the item to any part of it needs at most e edits,
+e = floor(max_rate * n). q is ``Q``, and for short items the largest that leaves one q-gram at the full budget.
+Alignments of many regions advance side by side, and one ends as soon as all its cells are over the budget.
 
 Documents are scanned where they are read, with no shuffle. The benchmark is the stated query set: it
 is taken in blocks of at most ``block_bytes`` of text, each block broadcast for one scan of all rows.
 
 Texts are compared as UTF-8 bytes, A-Z lower-cased, each ASCII white space as a blank. Null or empty
-texts and null or empty items match nothing. Repeated rows and repeated items are each reported;
-other columns are not looked at; empty tables give no rows.
+texts and null or empty items match nothing. Items under ``Q`` bytes match exact and as whole words. Repeated rows and
+repeated items are each reported; of equally good places of an item the first begin counts. Other columns are not looked
+at; empty tables give no rows. A very long text is held whole in the task that reads it.
 """
 
 from __future__ import annotations
@@ -29,22 +31,25 @@ Q, MAX_RATE, BLOCK_BYTES = 8, 0.10, 4 << 20
 _FOLD = np.where(SEPARATOR, 32, LOWER).astype(np.uint8)
 _FOLD[0] = 32
 _BITS = 22
+_UNIT = np.int64(1 << 40)
+_NEVER = np.int64(1 << 61)
+_ABREAST = 64  # alignments that advance side by side
 
 
 class Index:
-    """The q-grams of a block of items, with the edit budget and the bound of each item."""
+    """The q-grams of some items, with the edit budget and the bound of each item."""
 
     def __init__(self, ids: list, items: list[bytes], q: int, max_rate: float):
-        self.q = q
+        self.q, self.ids = q, ids
         folded = [_FOLD[np.frombuffer(x, np.uint8)].tobytes() for x in items]
-        self.ids, self.items = ids, [np.frombuffer(x, np.uint8) for x in folded]
-        n = np.fromiter(map(len, folded), np.int64, len(folded))
-        self.edits = np.minimum((n * max_rate).astype(np.int64), np.maximum(0, (n - q) // q))
+        self.items = [np.frombuffer(x, np.uint8) for x in folded]
+        self.n = n = np.fromiter(map(len, folded), np.int64, len(folded))
+        self.edits = (n * max_rate).astype(np.int64)
         self.bound = n - q + 1 - q * self.edits
-        self.short = [(i, x) for i, x in enumerate(folded) if 0 < len(x) < q]
         block = Block(folded, lower=False)
-        item = np.repeat(np.arange(len(items)), np.maximum(0, n - q + 1))
-        at = np.arange(len(item)) - np.repeat(np.cumsum(np.maximum(0, n - q + 1)) - np.maximum(0, n - q + 1), np.maximum(0, n - q + 1))
+        grams = n - q + 1
+        item = np.repeat(np.arange(len(items)), grams)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(grams) - grams, grams)
         begins = block.begins[item] + at
         hashes = block.spans(begins, begins + q)
         order = np.argsort(hashes, kind="stable")
@@ -54,12 +59,12 @@ class Index:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def regions(self, held: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, least, most diagonal) of every band that reaches its item's bound."""
+    def regions(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, item, least diagonal of every band (of 2 * e diagonals) that reaches its item's bound."""
         q = self.q
-        block = Block([_FOLD[np.frombuffer(x, np.uint8)].tobytes() for x in held], lower=False)
-        if len(block.data) < q or not len(self.grams):
-            return
+        none = np.zeros(0, np.int64)
+        if len(block.data) < q:
+            return none, none, none
         starts = np.arange(len(block.data) - q + 1)
         hashes = block.spans(starts, starts + q)
         hit = np.flatnonzero(self.seen[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -67,89 +72,146 @@ class Index:
         true = self.grams[which] == hashes[hit]
         hit, which = hit[true], which[true]
         if not len(hit):
-            return
+            return none, none, none
         counts = self.first[which + 1] - self.first[which]
         posting = np.repeat(self.first[which] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         item, at = self.item[posting], self.at[posting]
         begin = np.repeat(hit, counts)
         text = np.searchsorted(block.begins, begin, "right") - 1
         # diagonals from -n on: shifted by the longest item so that they are positive
-        longest = max(map(len, self.items))
-        diagonal = begin - block.begins[text] - at + longest
-        step = np.maximum(1, self.edits[item])
-        band = diagonal // step
+        longest = int(self.n.max())
+        band = (begin - block.begins[text] - at + longest) // np.maximum(1, self.edits[item])
         width = int(block.lengths.max() + longest + 2) + 1
-        key = ((text * len(self.items) + item) * width + band).astype(np.int64)
-        # distinct text positions count once for a band: the lemma counts the item's q-grams, so repeats only add
-        keys, number = np.unique(np.sort(key), return_counts=True)
-        all_keys = np.concatenate([keys, keys - 1])
-        order = np.argsort(all_keys, kind="stable")
-        merged, total = all_keys[order], np.concatenate([number, number])[order]
-        change = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-        sums = np.add.reduceat(total, change)
-        merged = merged[change]
-        item_of = (merged // width) % len(self.items)
-        good = sums >= self.bound[item_of]
-        for k, i in zip(merged[good].tolist(), item_of[good].tolist()):
-            e = int(max(1, self.edits[i]))
-            low = (k % width) * e - longest
-            yield k // width // len(self.items), i, low, low + 2 * e
-
-    def align(self, text: np.ndarray, i: int, low: int, high: int) -> tuple[int, int, int] | None:
-        """(begin, end, edits) of the item's best alignment to a part of the text within the diagonals, if in budget."""
-        x, e = self.items[i], int(self.edits[i])
-        left = max(0, low - e)
-        part = text[left : max(0, min(len(text), high + len(x) + e))]
-        exact = part.tobytes().find(x.tobytes())
-        if exact >= 0:
-            return left + exact, left + exact + len(x), 0
-        if not e or not len(part):
-            return None
-        # rows: characters of the item; columns: ends in the text; free begin and end in the text
-        m = len(part)
-        column = np.arange(m + 1)
-        row, origin = np.zeros(m + 1, np.int64), column.copy()
-        for j, c in enumerate(x.tolist(), 1):
-            lo, hi = max(0, low - e - left + j - 1), min(m, high + e - left + j + 1)
-            if hi < lo:  # the band leaves the text: more edits than the budget
-                return None
-            new = np.full(m + 1, len(x) + m, np.int64)
-            new_origin = origin.copy()
-            across = row[lo:hi] + (part[lo:hi] != c)
-            down = row[lo + 1 : hi + 1] + 1
-            new[lo + 1 : hi + 1] = np.minimum(across, down)
-            new_origin[lo + 1 : hi + 1] = np.where(across <= down, origin[lo:hi], origin[lo + 1 : hi + 1])
-            new[lo] = row[lo] + 1
-            new_origin[lo] = origin[lo]
-            span = column[lo : hi + 1]
-            slid = np.minimum.accumulate(new[lo : hi + 1] - span) + span
-            better = slid < new[lo : hi + 1]
-            if better.any():  # a gap in the item: the origin comes from where the run began
-                source = np.maximum.accumulate(np.where(better, 0, np.arange(len(span))))
-                new_origin[lo : hi + 1] = new_origin[lo : hi + 1][source]
-                new[lo : hi + 1] = slid
-            row, origin = new, new_origin
-        end = int(np.argmin(row))
-        return (left + int(origin[end]), left + end, int(row[end])) if row[end] <= e else None
-
-    def find(self, held: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        key = (text * len(self.items) + item) * width + band
+        key, at = np.concatenate([key, key - 1]), np.concatenate([at, at])
+        for once in (False, True):  # all shared q-grams first, then each place of the item once
+            order = np.lexsort((at, key)) if once else np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            if once:
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
+                key, at = key[new], at[new]
+            change = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            number = np.diff(np.append(change, len(key)))
+            good = number >= self.bound[(key[change] // width) % len(self.items)]
+            keep = np.repeat(good, number)
+            key, at = key[keep], at[keep]
+            if not len(key):
+                return none, none, none
+        key = np.unique(key)
+        item = (key // width) % len(self.items)
+        return key // width // len(self.items), item, (key % width) * np.maximum(1, self.edits[item]) - longest
+
+    def align(self, block: Block, text: np.ndarray, item: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Per region (sorted by descending length of the item) edits, begin and end of the item's best alignment to a part of the text.
+
+        Edits over the budget are none: begin -1. A cell holds edits * _UNIT + begin, so that one minimum settles both; its
+        column is a diagonal (place in the text less place in the item), from low - e to low + 3 * e.
+        """
+        n, e = self.n[item], self.edits[item]
+        width = 4 * int(e.max()) + 1
+        base = low - e  # the diagonal of column 0
+        length = block.lengths[text]
+        columns = np.arange(width)
+        x = np.zeros((len(item), int(n.max())), np.uint8)
+        for r, i in enumerate(item.tolist()):
+            x[r, : n[r]] = self.items[i]
+        # strip[:, j - 1 + d] is the text's byte before place base + j + d
+        place = base[:, None] + np.arange(x.shape[1] + width)
+        strip = block.data[np.clip(block.begins[text][:, None] + place, 0, len(block.data) - 1)].astype(np.int16)
+        strip[(place < 0) | (place >= length[:, None])] = -1
+        closed = columns > 4 * e[:, None]
+        at = base[:, None] + columns
+        row = np.where((at >= 0) & (at <= length[:, None]) & ~closed, at, _NEVER)
+        out = np.full((len(item), 3), -1, np.int64)
+        out[:, 0] = _NEVER // _UNIT
+        slope = columns * _UNIT
+        live = np.arange(len(item))
+        for j in range(1, x.shape[1] + 1):
+            now = live[: np.searchsorted(-n[live], -j, "right")]
+            if len(now) < len(live) or j % 8 == 0:
+                keep = row[: len(now)].min(1) < (e[now] + 1) * _UNIT
+                live, row = now[keep], row[: len(now)][keep]
+                if not len(live):
+                    break
+            part = strip[live, j - 1 : j - 1 + width]
+            new = np.where(part >= 0, row + _UNIT * (part != x[live, j - 1][:, None]), _NEVER)
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + _UNIT)
+            at = base[live][:, None] + (columns + j)
+            new[closed[live] | (at < 0) | (at > length[live][:, None])] = _NEVER
+            slid = np.minimum.accumulate(new - slope, axis=1) + slope
+            row = np.where(new >= _NEVER, np.where(closed[live] | (at < 0) | (at > length[live][:, None]), _NEVER, slid), slid)
+            ended = n[live] == j
+            if ended.any():
+                last = row[ended]
+                d = last.argmin(1)
+                value = last[np.arange(len(d)), d]
+                out[live[ended]] = np.stack([value // _UNIT, value % _UNIT, at[ended][np.arange(len(d)), d]], 1)
+        out[out[:, 0] > e, 1] = -1
+        return out
+
+    def find(self, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, edits), the best place of each pair, the first of equals."""
+        text, item, low = self.regions(block)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, low, high in self.regions(held):
-            if best.get((t, i), (1, 0, 0))[0] == 0:
-                continue
-            if got := self.align(_FOLD[np.frombuffer(held[t], np.uint8)], i, low, high):
-                best[t, i] = min(best.get((t, i), (1 << 60, 0, 0)), (got[2], got[0], got[1]))
-        if self.short:
-            for t, x in enumerate(held):
-                y = _FOLD[np.frombuffer(x, np.uint8)].tobytes()
-                for i, short in self.short:
-                    if (at := y.find(short)) >= 0:
-                        best[t, i] = (0, at, at + len(short))
+        hard = []
+        for r, (t, i, d) in enumerate(zip(text.tolist(), item.tolist(), low.tolist())):
+            e, begin = int(self.edits[i]), int(block.begins[t])
+            first = begin + max(0, d - e)
+            piece = block.data[first : max(first, min(begin + int(block.lengths[t]), begin + d + 3 * e + int(self.n[i])))].tobytes()
+            at = piece.find(self.items[i].tobytes())
+            if at >= 0:
+                at += first - begin
+                best[t, i] = min(best.get((t, i), (1 << 60, 0, 0)), (0, at, at + int(self.n[i])))
+            elif e and piece:
+                hard.append(r)
+        hard = np.array([r for r in hard if (int(text[r]), int(item[r])) not in best], np.int64)
+        hard = hard[np.argsort(-self.n[item[hard]], kind="stable")]
+        for a in range(0, len(hard), _ABREAST):
+            some = hard[a : a + _ABREAST]
+            for t, i, (edits, begin, end) in zip(text[some].tolist(), item[some].tolist(), self.align(block, text[some], item[some], low[some]).tolist()):
+                if begin >= 0:
+                    best[t, i] = min(best.get((t, i), (1 << 60, 0, 0)), (edits, begin, end))
         for (t, i), (edits, begin, end) in sorted(best.items()):
             yield t, i, begin, end, edits
 
 
+class Words:
+    """Items that are too short for q-grams: found exact, as whole words."""
+
+    def __init__(self, ids: list, items: list[bytes]):
+        self.ids, self.items = ids, [_FOLD[np.frombuffer(x, np.uint8)] for x in items]
+
+    def find(self, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
+        letter = np.isin(block.data, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)) | (block.data >= 128)
+        whole = block.data.tobytes()
+        for i, x in enumerate(self.items):
+            sought, at, done = x.tobytes(), -1, -1
+            while (at := whole.find(sought, at + 1)) >= 0:
+                t = int(np.searchsorted(block.begins, at, "right")) - 1
+                if t != done and not (at and letter[at - 1] and letter[at]) and not (letter[at + len(x)] and letter[at + len(x) - 1]):
+                    done = t
+                    begin = at - int(block.begins[t])
+                    yield t, i, begin, begin + len(x), 0
+
+
+def indexes(ids: list, items: list[bytes], q: int, max_rate: float) -> list[Index | Words]:
+    """The items by the q they take; those under q bytes apart."""
+    groups: dict[int, list[int]] = {}
+    for k, x in enumerate(items):
+        if x:
+            groups.setdefault(0 if len(x) < q else min(q, len(x) // (int(len(x) * max_rate) + 1)), []).append(k)
+    chosen = lambda at: ([ids[k] for k in at], [items[k] for k in at])
+    return [Index(*chosen(at), own, max_rate) if own else Words(*chosen(at)) for own, at in sorted(groups.items())]
+
+
+def folded(held: list[bytes]) -> Block:
+    """The texts side by side as they are compared, apart by a byte that no item holds."""
+    block = Block(held, lower=False)
+    block.data = _FOLD[block.data]
+    block.data[block.begins[1:] - 1] = 10
+    return block
+
+
 def query_blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """The items with text, in blocks of bounded size, one at a time."""
     ids, items, size = [], [], 0
@@ -175,16 +237,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         shared = spark.sparkContext.broadcast((ids, items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value, q, max_rate)
-            kind = pa.array(index.ids).type
+            every = indexes(*shared.value, q, max_rate)
+            kind = pa.array(shared.value[0]).type
             for batch in batches:
                 for at, held in texts(batch.column(1)):
-                    if found := list(index.find(held)):
-                        t, i, begin, end, edits = zip(*found)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).slice(at, len(held)).take(pa.array(t)), pa.array([index.ids[j] for j in i], kind), *(pa.array(x, pa.int64()) for x in (begin, end, edits, [len(index.items[j]) for j in i]))],
-                            names=[key, item_key, "begin", "end", "edits", "item_length"],
-                        )
+                    block = folded(held)
+                    for index in every:
+                        if found := list(index.find(block)):
+                            t, i, begin, end, edits = zip(*found)
+                            yield pa.RecordBatch.from_arrays(
+                                [batch.column(0).slice(at, len(held)).take(pa.array(t)), pa.array([index.ids[j] for j in i], kind), *(pa.array(x, pa.int64()) for x in (begin, end, edits, [len(index.items[j]) for j in i]))],
+                                names=[key, item_key, "begin", "end", "edits", "item_length"],
+                            )
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
