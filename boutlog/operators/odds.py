@@ -30,7 +30,25 @@ def with_odds(matches: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame
     """odds_w, odds_l, has_odds (both above 1) and winner_prob (inverse prices scaled to sum 1; 0.5 without)."""
     out = matches.withColumn("_o", cascade(sources)).withColumns({"odds_w": F.col("_o.w"), "odds_l": F.col("_o.l")}).drop("_o")
     has = F.coalesce((F.col("odds_w") > 1) & (F.col("odds_l") > 1), F.lit(False))
-    return out.withColumn("has_odds", has.cast("int")).withColumn("winner_prob", F.when(has, F.col("odds_l") / (F.col("odds_w") + F.col("odds_l"))).otherwise(0.5))
+    return out.withColumn("has_odds", has.cast("int")).withColumn("winner_prob", F.when(has, (1 / F.col("odds_w")) / (1 / F.col("odds_w") + 1 / F.col("odds_l"))).otherwise(0.5))
+
+
+def two_sided(priced: DataFrame) -> DataFrame:
+    """Two rows per match: y = 1 from the winner's side with p1_price its implied probability, and the swapped one; price_diff between both sides."""
+    row = lambda y, p: F.struct(F.lit(y).alias("y"), p.alias("p1_price"), (2 * p - 1).alias("price_diff"))
+    return priced.select(*priced.columns, F.inline(F.array(row(1, F.col("winner_prob")), row(0, 1 - F.col("winner_prob")))))
+
+
+def pooled(table: DataFrame, metrics: Sequence[str], n: str = "n") -> DataFrame:
+    """Means of the metrics over a table's rows, each with weight n; n is the sum."""
+    return table.agg(*[(F.sum(F.col(m) * F.col(n)) / F.sum(F.when(F.col(m).isNotNull(), F.col(n)))).alias(m) for m in metrics], F.sum(n).alias(n))
+
+
+def attach(matches: DataFrame, prices: DataFrame) -> DataFrame:
+    """matches with the price columns of the row of the same match_key (tournament and number); nulls without one, the first of repeated keys."""
+    key = F.concat_ws("_", "tourney_id", "match_num")
+    one = prices.groupBy("match_key").agg(F.min(F.struct(*[c for c in prices.columns if c != "match_key"])).alias("_p")).select("match_key", "_p.*")
+    return matches.withColumn("match_key", key).join(one, "match_key", "left").drop("match_key")
 
 
 def benchmark(priced: DataFrame, *by: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from boutlog.session import cut
+from boutlog.session import discard, stored
 
 WINDOW_DAYS = (-3, 27)
 #: Accented letters and their plain forms, one for one.
-ACCENTED, PLAIN = "áàâäãåčćçéèêëěíìîïñňóòôöõøřšťúùûüůýÿž", "aaaaaaccceeeeeiiiinnoooooorstuuuuuyyz"
+ACCENTED, PLAIN = "áàâäãåāăąčćçďđéèêëěēėęğíìîïīįıłľñňńņóòôöõøōőřŕšśşșťţțúùûüůūűųýÿžźż", "aaaaaaaaacccddeeeeeeeegiiiiiiillnnnnoooooooorrssssttt" + "uuuuuuuuyyzzz"
 
 
 def normalized(name: Column) -> Column:
@@ -43,50 +43,61 @@ def _exploded(df: DataFrame, w: Column, l: Column) -> DataFrame:  # noqa: E741
     return df.withColumn("_w", F.explode(w)).withColumn("_l", F.explode(l))
 
 
+def _month(day: Column) -> Column:
+    return (F.year(day) * 12 + F.month(day)).cast("int")
+
+
+def _months(day: Column, days: tuple[int, int]) -> Column:
+    return F.sequence(_month(F.date_add(day, days[0])), _month(F.date_add(day, days[1])))
+
+
 def candidates(matches: DataFrame, feed: DataFrame, days: tuple[int, int] = WINDOW_DAYS, surnames_only: bool = False) -> DataFrame:
     """match_num, feed_id, agreement (ranks that agree, 0 to 2), day_gap of name matches within the window of days.
 
     matches: match_num, tourney_date, w_name, l_name, w_rank, l_rank. feed: feed_id, feed_date, w_short, l_short, w_rank, l_rank.
-    An equi-join on both players' keys; dates are a residual condition.
+    An equi-join on both players' keys and the month: a feed row stands in its own, a match in those its window reaches. Days are a
+    residual condition, so two players who meet for years do not pair all their matches with all their feed rows.
     """
     bare = (lambda k: F.array_distinct(F.transform(k, lambda s: F.substring_index(s, "|", 1)))) if surnames_only else (lambda k: k)
-    a = _exploded(matches, bare(full_name_keys(F.col("w_name"))), bare(full_name_keys(F.col("l_name")))).select("match_num", "tourney_date", "_w", "_l", F.col("w_rank").alias("_wr"), F.col("l_rank").alias("_lr"))
-    b = _exploded(feed, bare(short_name_keys(F.col("w_short"))), bare(short_name_keys(F.col("l_short")))).select("feed_id", "feed_date", "_w", "_l", "w_rank", "l_rank")
+    a = _exploded(matches, bare(full_name_keys(F.col("w_name"))), bare(full_name_keys(F.col("l_name")))).withColumn("_m", F.explode(_months(F.col("tourney_date"), days))).select("match_num", "tourney_date", "_m", "_w", "_l", F.col("w_rank").alias("_wr"), F.col("l_rank").alias("_lr"))
+    b = _exploded(feed, bare(short_name_keys(F.col("w_short"))), bare(short_name_keys(F.col("l_short")))).select("feed_id", "feed_date", _month(F.col("feed_date")).alias("_m"), "_w", "_l", "w_rank", "l_rank")
     gap = F.datediff("feed_date", "tourney_date")
     agree = F.coalesce((F.col("w_rank") == F.col("_wr")).cast("int"), F.lit(0)) + F.coalesce((F.col("l_rank") == F.col("_lr")).cast("int"), F.lit(0))
-    return a.join(b, ["_w", "_l"]).where(gap.between(*days)).select("match_num", "feed_id", agree.alias("agreement"), gap.alias("day_gap")).distinct()
+    return a.join(b, ["_w", "_l", "_m"]).where(gap.between(*days)).select("match_num", "feed_id", agree.alias("agreement"), gap.alias("day_gap")).distinct()
 
 
 def best(pairs: DataFrame) -> DataFrame:
-    """The best candidate of each match: most agreement, then nearest date, then least id."""
-    order = F.struct((-F.col("agreement")).alias("x"), F.abs("day_gap").alias("y"), F.col("feed_id").alias("z"))
-    return pairs.groupBy("match_num").agg(F.min_by(F.struct("feed_id", "agreement", "day_gap"), order).alias("b")).select("match_num", "b.feed_id", "b.agreement", "b.day_gap")
+    """The best candidate of each match: the first stage (where pairs have one), most agreement, then nearest date, then least id."""
+    more = [c for c in ("stage",) if c in pairs.columns]
+    order = F.struct(*more, (-F.col("agreement")).alias("x"), F.abs("day_gap").alias("y"), F.col("feed_id").alias("z"))
+    return pairs.groupBy("match_num").agg(F.min_by(F.struct("feed_id", "agreement", "day_gap", *more), order).alias("b")).select("match_num", "b.*")
 
 
-def assign_once(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def assign_once(pairs: DataFrame) -> DataFrame:
     """Each match its best feed row that no earlier match took (match order is match_num).
 
     All feed rows prefer the earlier match, so the one stable assignment equals serving matches in turn. It is found
     in rounds: every open match asks for its best row left; a row goes to the earliest asker. Each round is two
     grouped minima; a row once held can only pass to an earlier match, and leaves the lists of those it turned down.
     """
-    left = cut(pairs)
-    for _ in range(rounds):
-        asked = best(left)
+    left = stored(pairs)
+    while True:  # every round but the last takes a pair away
+        asked = stored(best(left))
         given = asked.groupBy("feed_id").agg(F.min("match_num").alias("_to"))
-        refused = asked.join(given, "feed_id").where("match_num <> _to").select("match_num", "feed_id")
-        rest = cut(left.join(refused, ["match_num", "feed_id"], "left_anti"))
+        refused = stored(asked.join(given, "feed_id").where("match_num <> _to").select("match_num", "feed_id"))
         if refused.isEmpty():
+            discard(left, refused)
             return asked
+        rest = stored(left.join(refused, ["match_num", "feed_id"], "left_anti"))
+        discard(left, asked, refused)
         left = rest
-    raise RuntimeError(f"assignment did not settle in {rounds} rounds")
 
 
 def with_fallback(matches: DataFrame, feed: DataFrame, days: tuple[int, int] = WINDOW_DAYS) -> DataFrame:
-    """best by full keys; for matches without one, by surnames alone where both ranks agree. stage is 1 or 2."""
-    first = best(candidates(matches, feed, days)).withColumn("stage", F.lit(1))
-    second = best(candidates(matches.join(first, "match_num", "left_anti"), feed, days, True).where("agreement = 2")).withColumn("stage", F.lit(2))
-    return first.unionByName(second)
+    """Each match one feed row that no earlier match took: by full keys (stage 1), else by surnames alone where both ranks agree (stage 2)."""
+    first = candidates(matches, feed, days).withColumn("stage", F.lit(1))
+    second = candidates(matches, feed, days, True).where("agreement = 2").withColumn("stage", F.lit(2))
+    return assign_once(first.unionByName(second.join(first, ["match_num", "feed_id"], "left_anti")))
 
 
 def unmatched(matches: DataFrame, found: DataFrame, by: str, n: int = 5) -> DataFrame:
@@ -106,6 +117,22 @@ def unique_either_way(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.count("*").alias("n"), F.first("other").alias("other")).where("n = 1").select("id", "other")
 
 
+def candidate_days(matches: DataFrame, days: tuple[int, int] = (0, 3)) -> DataFrame:
+    """match_num, day: the days on which a match's feed row may stand, around its own."""
+    return matches.select("match_num", F.explode(F.sequence(F.date_add("tourney_date", days[0]), F.date_add("tourney_date", days[1]))).alias("day"))
+
+
+def page_rows(html: Column) -> Column:
+    """The table rows of a day's page as (href, team1, team2): the row's first link and the two names of its text, apart by a dash."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?s)<tr(.*?)</tr>"), F.lit(1))
+
+    def read(r: Column) -> Column:
+        names = F.split(F.trim(F.regexp_replace(F.regexp_extract(r, r"(?s)<a [^>]*>(.*?)</a>", 1), r"<[^>]*>", "")), r"\s+-\s+")
+        return F.struct(F.regexp_extract(r, 'href="([^"]*)"', 1).alias("href"), F.get(names, 0).alias("team1"), F.get(names, 1).alias("team2"))
+
+    return F.filter(F.transform(rows, read), lambda x: x["team2"].isNotNull())
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, place, href of every link of a page's html."""
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("place", "href"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -92,3 +93,56 @@ def compare(train: DataFrame, test: DataFrame, base: Sequence[str], other: Seque
     one, two = (evaluation.match_evaluation(predict(fit(train, forest(), f), test)) for f in (base, other))
     seasons = test.select("match_num", "season").distinct()
     return evaluation.paired(one.join(seasons, "match_num"), two)
+
+
+# --- walk-forward: every season is predicted by models fitted on the seasons before it
+
+
+def season_folds(sample: DataFrame, seasons: Sequence[int]) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(season, rows of earlier seasons, the season's rows)."""
+    return [(s, sample.where(F.col("season") < s), sample.where(F.col("season") == s)) for s in seasons]
+
+
+def walk_forward(sample: DataFrame, seasons: Sequence[int], variants: dict[str, tuple[Sequence[str], object]]) -> DataFrame:
+    """match_num, season, variant, prob, correct; variants: name -> (features, classifier)."""
+    out = None
+    for s, train, test in season_folds(sample, seasons):
+        for name, (features, classifier) in variants.items():
+            done = evaluation.match_evaluation(predict(fit(train, classifier, features), test)).select("match_num", F.lit(s).alias("season"), F.lit(name).alias("variant"), "prob", "correct")
+            out = done if out is None else out.unionByName(done)
+    return out
+
+
+def outcomes(walked: DataFrame, base: str, other: str) -> DataFrame:
+    """match_num, season, a (base right), b (other right) of two variants of walk_forward."""
+    of = lambda v: walked.where(F.col("variant") == v)
+    return evaluation.paired(of(base), of(other))
+
+
+def read_out(train: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 3) -> DataFrame:
+    """setting, fold, n, accuracy, brier, log_loss of every classifier over expanding folds."""
+    out = None
+    for fold, (earlier, later) in enumerate(expanding_folds(train, folds), 1):
+        for name, c in classifiers.items():
+            scored = predict(fit(earlier, c, features), later)
+            right = F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy")
+            part = scored.agg(F.count("*").alias("n"), right).crossJoin(evaluation.losses(scored)).select(F.lit(name).alias("setting"), F.lit(fold).alias("fold"), "n", "accuracy", "brier", "log_loss")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def chosen(table: DataFrame) -> DataFrame:
+    """Mean metrics of each setting of read_out, and the one of the least mean log-loss (then the first by name) marked."""
+    means = table.groupBy("setting").agg(*[F.avg(m).alias(m) for m in ("accuracy", "brier", "log_loss")])
+    best = means.agg(F.min(F.struct("log_loss", "setting"))["setting"].alias("_best"))
+    return means.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("setting") == F.col("_best")).drop("_best")
+
+
+def drawn(n: int, seed: int = 42) -> dict[str, RandomForestClassifier]:
+    """n forests with random trees, depth, leaf size and feature share, for a search."""
+    rnd = random.Random(seed)
+    out = {}
+    for _ in range(n):
+        trees, depth, leaf, share = rnd.choice((10, 20, 30)), rnd.choice((3, 4, 6, 8)), rnd.choice((1, 5, 20)), rnd.choice(("sqrt", "log2", "onethird"))
+        out[f"{trees}-{depth}-{leaf}-{share}"] = forest(trees, depth, minInstancesPerNode=leaf, featureSubsetStrategy=share)
+    return out

@@ -310,7 +310,7 @@ register(
     f"SELECT match_num, side, round({fold('is_win', 'first_ewma', 0.18, 'player, surface')}, 6) + 0.0 AS ewma_surface_form FROM s",
     PV, _EWMA, "s AS (SELECT *, first_value(ewma_form) OVER (PARTITION BY player, surface ORDER BY tourney_date, match_num) AS first_ewma FROM e)",
 )
-register("ewma_serve", lambda m: recursive.with_ewma_serve(history.player_view(m)).select(*KEY, *[f"ewma_{s}" for s in SHARES]), "SELECT match_num, side, " + ", ".join(f"round({fold(s, str(v), 0.18)}, 6) + 0.0 AS ewma_{s}" for s, v in SERVE_PRIORS.items()) + " FROM pv", PV)
+register("ewma_serve", lambda m: recursive.with_ewma_serve(history.player_view(m)).select(*KEY, *[F.round(f"ewma_{s}", 12).alias(f"ewma_{s}") for s in SHARES]), "SELECT match_num, side, " + ", ".join(f"round(round({fold(s, str(v), 0.18)}, 12), 6) + 0.0 AS ewma_{s}" for s, v in SERVE_PRIORS.items()) + " FROM pv", PV)
 _ten = [("is_win", 0.5), *SERVE_PRIORS.items(), ("serve_pts_won", 0.62)]
 register(
     "ewma_momentum",
