@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boutlog.llm import decontam, line_dedup, lm_scoring, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, urls
-from boutlog.session import cut, prepare
+from boutlog.session import prepare, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    measured = cut(quality_rules.measure(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+    measured = stored(quality_rules.measure(docs.select("doc_id", "text", "lang", "source")).drop("text"))
     judged = quality_rules.judge(measured, quality_rules.thresholds(measured))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", *quality_rules.FLOORS)
 

@@ -6,7 +6,8 @@ proportion to its weight. Changing a weight moves keys only into or out of that
 the others stay as they are, and so do all choices below them.
 
 One more shard: shards are dealt to racks of 4 and regions of 8 in order of number, so from a multiple of 8
-(as from 24 to 25) the new shard is a subtree of its own and takes rows only into itself.
+(as from 24 to 25) the new shard is a subtree of its own and takes rows only into itself. From other counts it would
+change the weight of a subtree that has shards already, so shard_rows takes multiples of 8 only.
 
 All expressions are built in; texts are read but never shuffled. Slots are numbered in two steps, places
 within blocks of a shard and offsets of the blocks, so that no task holds a whole shard.
@@ -64,6 +65,8 @@ def place(key: Column, shards: int, weights: dict[int, float] | None = None) ->
 
 def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard of every row."""
+    if shards % (RACK * REGION):
+        raise ValueError(f"shards: a multiple of {RACK * REGION}")
     name = F.col(key).cast("string")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), place(name, shards).alias("shard"), place(name, shards + 1).alias("grown_shard"))
@@ -78,7 +81,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str
 
 
 def oracle_sql(shards: int = 24) -> str:
-    """The same for DuckDB, but for text_crc32 by way of a table of the CRC's bytes: see the test; here without it."""
+    """doc_id, size, shard and grown_shard by DuckDB, which has no crc32; compared in a test."""
     unit = lambda n: f"((('0x' || substr(md5(k || '/{n}'), 1, 12))::BIGINT + 0.5) / {float(1 << 48)!r})"
     def choose(names: list[str], weights: list[float], values: list[str]) -> str:
         if len(values) == 1:
