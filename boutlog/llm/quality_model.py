@@ -12,7 +12,9 @@ prior is the least ratio, over its scores, of the unlabelled share above a score
 Fit on at most ``sample`` positives and twice as many unlabelled rows; every row is scored where it is read.
 
 Null and empty texts have measures of zero and are scored like any other; without positives or unlabelled rows all
-scores are 0.5. Repeated rows are scored alike; other columns are not looked at.
+scores are 0.5; with 20 rows or fewer in half of either side the prior is 0.7. Rows without id are scored, never learnt from, and
+their held_out is null. Repeated rows are scored alike; an empty table gives no rows; other columns are not looked at. A very
+long text is held whole in the task that reads it.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Fit on at most ``sample`` labelled rows (half of each class where there are enou
 where it is read.
 
 Null and empty texts, and those without a letter or digit, get the score of the bias alone. Without labelled rows
-every score is 0.5. Repeated rows are scored alike; other columns are not looked at.
+every score is 0.5. An id with two labels counts as toxic. Rows without id are scored, never learnt from, and their held_out is
+null. Repeated rows are scored alike; an empty table gives no rows; other columns are not looked at. A very long text is held
+whole in the task that reads it.
 """
 
 from __future__ import annotations
@@ -89,7 +91,6 @@ def fit(held: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0
     bias = np.zeros(2, np.float32)
     seen_e, seen_s, seen_b = np.full(1 << BITS, 1e-8, np.float32), np.full(2, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     class_weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
-    prior = np.log(labels.mean() / (1 - labels.mean()))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.02
         order = rng.permutation(len(rows))
@@ -125,13 +126,12 @@ def fit(held: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0
     difference = soft[:, 1] - soft[:, 0]
     untrained = seen_e < 2e-8
     embed[untrained] = 0
-    del prior
     return ToxicityModel((embed @ difference * 30).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` of the labelled rows: half of each class, or all of one that has fewer."""
-    rows = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_label")).dropna().dropDuplicates([key])
+    rows = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_label")).dropna().groupBy(key).agg(F.max("_label").alias("_label"))
     ids = first_by_hash(rows.where("_label = 1"), key, sample // 2).unionByName(first_by_hash(rows.where("_label = 0"), key, sample // 2))
     got = texts_of(docs, ids, key, text).orderBy(key).select("_text", "_label").collect()
     return fit([r[0].encode() for r in got], np.array([r[1] for r in got], np.int64))
