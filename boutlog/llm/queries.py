@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boutlog.llm import decontam, line_dedup, lm_scoring, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, urls
+from boutlog.llm import decontam, line_dedup, lm_scoring, near_dedup, packing, quality_model, quality_rules, resampling, sharding, simhash_dedup, toxicity, urls, whitening
 from boutlog.session import prepare, stored
 
 
@@ -63,12 +63,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "removed_lines", "removed_words", "text")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(prepare(spark), sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality_rules, op4_toxicity, op5_near_dedup, op6_sharding, op7_quality_classifier, op8_lm_scoring, op9_decontamination, op10_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality_rules, op4_toxicity, op5_near_dedup, op6_sharding, op7_quality_classifier, op8_lm_scoring, op9_decontamination, op10_line_dedup, op11_embedding_whitening, op12_importance_resampling, op13_simhash_dedup, pipeline)}
 
 ORACLES = {"op1_url_filter": urls.oracle_sql()}
