@@ -112,6 +112,17 @@ def worst_slices(table: DataFrame, gap: float = -0.05, n: int = 10) -> DataFrame
     return marked.join(lowest, "slice", "left").where(F.when(F.col("_hits") > 0, F.col("gap") <= gap).otherwise(F.coalesce("_low", F.lit(False)))).drop("_hits", "_low")
 
 
+def best_slices(table: DataFrame, n: int = 8) -> DataFrame:
+    """The n slices of the greatest gap; of equal ones those of more rows, then by name."""
+    return table.orderBy(F.desc("gap"), F.desc("support"), "slice").limit(n)
+
+
+def gains_and_losses(compared: DataFrame, delta: str, n: int = 8) -> DataFrame:
+    """kind (gain or loss), slice, support, delta: the n slices that a model improves most and least."""
+    top = lambda kind, order: compared.orderBy(order, F.desc("support"), "slice").limit(n).select(F.lit(kind).alias("kind"), "slice", "support", F.col(delta).alias("delta"))
+    return top("gain", F.desc(delta)).unionByName(top("loss", F.asc(delta)))
+
+
 def worst_predictions(evaluated: DataFrame, n: int = 5) -> DataFrame:
     return evaluated.withColumn("error", 1 - F.col("prob")).orderBy(F.desc("error"), "match_num").limit(n)
 
@@ -148,11 +159,15 @@ def summary(runs: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def compare_slices(tables: dict[str, DataFrame], base: str) -> DataFrame:
-    """Slices of several models side by side: accuracies, deltas against ``base``, the best model (the first of equals)."""
+    """Slices of several models side by side: accuracies, deltas against ``base``, the best model (the first of equals).
+
+    A slice (with its support) that some model lacks is an error, as the models were then not evaluated on the same matches.
+    """
     long = None
     for i, (name, t) in enumerate(tables.items()):
         part = t.select("slice", "degree", "support", F.lit(i).alias("i"), F.lit(name).alias("model"), "accuracy")
         long = part if long is None else long.unionByName(part)
     wide = long.groupBy("slice", "degree", "support").agg(*[F.max(F.when(F.col("model") == m, F.col("accuracy"))).alias(f"{m}_accuracy") for m in tables], F.max(F.struct("accuracy", (-F.col("i")).alias("i"), "model"))["model"].alias("best_model"), F.count("*").alias("_m"))
-    full = wide.where(F.col("_m") == len(tables)).drop("_m")
+    unequal = F.raise_error(F.concat(F.lit("a slice that some models lack: "), F.col("slice"))).cast("boolean")
+    full = wide.where(F.when(F.col("_m") == len(tables), F.lit(True)).otherwise(unequal)).drop("_m")
     return full.withColumns({f"{m}_delta": F.col(f"{m}_accuracy") - F.col(f"{base}_accuracy") for m in tables if m != base})

@@ -6,7 +6,9 @@ of the ranges before it. The counts per range are one row per partition, whateve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from boutlog.session import stored
 
@@ -17,14 +19,21 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "place") -> D
     """df, stored, with ``name``: the 0-based place of each row in the order.
 
     One shuffle by ranges. Rows that tie in all of ``order`` get neighbouring places in no stated order, so give a key as the
-    last column. Rows are stored once sorted, so a lost executor cannot number them anew. An empty table stays empty.
+    last column. Rows are stored once sorted, so a lost executor cannot number them anew. An empty table stays empty. df is
+    evaluated twice, as ranges are found from a sample of it: store it before, where that is dear.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = ranged.withColumns({"_range": F.shiftright("_at", _ROW_BITS), "_row": F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))})
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
-    # one row per range: the only window over all of it
-    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    out = placed.join(F.broadcast(before), "_range").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row")).alias(name))
+    sizes = sorted(tuple(r) for r in placed.groupBy("_range").agg(F.count("*")).collect())  # one row per range
+    before = [(r, sum_ - size) for (r, size), sum_ in zip(sizes, accumulate(size for _, size in sizes))]
+    offsets = df.sparkSession.createDataFrame(before, "_range long, _before long")
+    out = placed.join(F.broadcast(offsets), "_range").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row")).alias(name))
     out._stored_in = ranged._stored_in
     return out
+
+
+def shuffled(df: DataFrame, keys: list[str], seed: int = 42, name: str = "place") -> DataFrame:
+    """df, stored, with ``name``: a random place that depends on the seed and the keys alone, however the rows are partitioned."""
+    salted = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    return numbered(df.withColumn("_salted", salted), ["_salted", *keys], name).drop("_salted")

@@ -1,40 +1,93 @@
-"""Recursive state: exponentially weighted averages (as window sums) and Elo ratings (one ordered pass per tour)."""
+"""Recursive state: exponentially weighted averages (as block sums) and Elo ratings (one ordered pass per tour)."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boutlog.functions.columns import SERVE_PRIORS, SHARES
-from boutlog.operators.history import ORDER, before
+from boutlog.operators.history import ORDER, player_view, with_h2h
+from boutlog.operators.reshape import both_sides, encode, symmetrize
 
 ALPHA, ALPHA_LONG = 0.18, 0.05
 LOWER_IS_BETTER = ("df_rate", "bp_faced_per_game")
+BLOCK = 512  # rows of a player that are summed up together
+#: The ten measures of momentum, each with its prior.
+MEASURES = {"is_win": 0.5, **SERVE_PRIORS, "serve_pts_won": 0.62}
 
 
-def with_ewma(view: DataFrame, value: str, prior: Column, name: str, alpha: float = ALPHA, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The average of the earlier defined values, each new one with weight alpha, from ``prior`` on.
+@dataclass(frozen=True)
+class Average:
+    """An exponentially weighted average of the earlier defined values of a column, each new one with weight alpha.
+
+    It starts at ``prior``; where no value has come yet it reads as ``unseen``, if that is given: a state may start from one
+    seed and be read from another.
+    """
+
+    value: str
+    prior: Column | float
+    name: str
+    alpha: float = ALPHA
+    unseen: Column | None = None
+
 
-    After n values the average is prior * d^n + alpha * sum of d^(n-1-i) * x_i, d = 1 - alpha. Values over
-    K back weigh under 1e-17 of the rest, so a frame of the last K values is exact in double precision.
-    Weights inside are kept relative to blocks of M values; a frame lies in two neighbouring blocks, told
-    apart by parity, so that no power overflows however long a history is.
+def with_averages(view: DataFrame, averages: Sequence[Average], keys: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """view with all averages, over the player's (and keys') rows in time order; null where the player or a key is null.
+
+    After n values an average is prior * d^n + sum of alpha * d^(n-1-i) * x_i, d = 1 - alpha. Rows are numbered once per player
+    and cut into blocks of ``block`` rows, and dealt by block, so that a player with very many rows is many tasks' work. In a
+    block all averages are running sums in one order, with weights relative to the block's begin, so that no power overflows
+    and no frame is summed anew for each row. A block's end is one row per average; what earlier blocks leave at a block's
+    begin is a sum over those within the reach of the weights (beyond it they are under 1e-17 of the rest), told apart by
+    parity of their range. The number of windows and sorts does not depend on the number of averages.
     """
-    d = 1 - alpha
-    k = math.ceil(-40 / math.log(d))
-    m = 1 << (k - 1).bit_length()
-    n, offset, even = F.col("_n"), F.pmod(F.col("_n"), F.lit(m)), F.pmod(F.floor(F.col("_n") / m), F.lit(2)) == 0
-    power = lambda x: F.pow(F.lit(d), x.cast("double"))
-    out = view.withColumn("_n", F.count(value).over(before(*keys)))
-    out = out.withColumn("_x", F.col(value) * power(-offset))
-    frame = Window.partitionBy("player", *keys).orderBy("_n").rangeBetween(-k, -1)
-    out = out.withColumns({"_e": F.coalesce(F.sum(F.when(even, F.col("_x"))).over(frame), F.lit(0.0)), "_o": F.coalesce(F.sum(F.when(~even, F.col("_x"))).over(frame), F.lit(0.0))})
-    same, other = F.when(even, F.col("_e")).otherwise(F.col("_o")), F.when(even, F.col("_o")).otherwise(F.col("_e"))
-    state = prior * power(n) + alpha * (power(offset - 1) * same + power(offset - 1 + m) * other)
-    return out.withColumn(name, state).drop("_n", "_x", "_e", "_o")
+    reach = max(math.ceil(-40 / math.log(1 - a.alpha)) for a in averages)
+    wide = 1 << (reach - 1).bit_length()
+    if max(-math.log(1 - a.alpha) for a in averages) * 2 * max(block, wide) > 700:
+        raise ValueError("powers of 1 - alpha over a block leave the range of doubles: take smaller blocks")
+    group = ["player", *keys]
+    values = list(dict.fromkeys(a.value for a in averages))
+    power = lambda d, n: F.pow(F.lit(d) if isinstance(d, float) else d, n.cast("double"))
+    seen = [F.col(f"_c{values.index(a.value)}") for a in averages]
+
+    rows = view.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*ORDER)) - 1)
+    rows = rows.withColumn("_b", F.floor(F.col("_i") / block)).repartition(*group, "_b")
+    inside = Window.partitionBy(*group, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_c{j}": F.count(v).over(inside) for j, v in enumerate(values)})
+    rows = rows.withColumns({f"_t{k}": F.col(a.value) * power(1 - a.alpha, -c) for k, (a, c) in enumerate(zip(averages, seen))})
+    rows = rows.withColumns({f"_s{k}": F.coalesce(F.sum(f"_t{k}").over(inside), F.lit(0.0)) for k in range(len(averages))})
+
+    ends = rows.groupBy(*group, "_b").agg(*[F.count(v).alias(f"_n{j}") for j, v in enumerate(values)], *[F.sum(f"_t{k}").alias(f"_u{k}") for k in range(len(averages))])
+    left = [F.struct(F.lit(k).alias("k"), F.lit(1 - a.alpha).alias("d"), F.col(f"_n{values.index(a.value)}").alias("n"), (a.alpha * F.col(f"_u{k}") * power(1 - a.alpha, F.col(f"_n{values.index(a.value)}") - 1)).alias("u")) for k, a in enumerate(averages)]
+    parts = ends.select(*group, "_b", F.inline(F.array(*left)))
+    in_turn = Window.partitionBy(*group, "k").orderBy("_b")
+    parts = parts.withColumns({"at": F.coalesce(F.sum("n").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "u": F.lag("u").over(in_turn)})
+    offset, even = F.pmod(F.col("at"), F.lit(wide)), F.pmod(F.floor(F.col("at") / wide), F.lit(2)) == 0
+    parts = parts.withColumns({"offset": offset, "even": even, "x": F.col("u") * power(F.col("d"), -offset)})
+    near = Window.partitionBy(*group, "k").orderBy("at").rangeBetween(-reach, 0)
+    of = lambda parity: F.coalesce(F.sum(F.when(F.col("even") == parity, F.col("x"))).over(near), F.lit(0.0))
+    parts = parts.withColumns({"_e": of(True), "_o": of(False)})
+    same, other = F.when(F.col("even"), F.col("_e")).otherwise(F.col("_o")), F.when(F.col("even"), F.col("_o")).otherwise(F.col("_e"))
+    begin = power(F.col("d"), F.col("offset")) * same + power(F.col("d"), F.col("offset") + wide) * other
+    begins = parts.groupBy(*group, "_b").agg(F.sort_array(F.collect_list(F.struct("k", "at", begin.alias("begin")))).alias("_begins"))
+
+    out = rows.join(begins, [*group, "_b"], "left")
+    made = {}
+    for k, (a, c) in enumerate(zip(averages, seen)):
+        d, before_ = 1 - a.alpha, F.col("_begins")[k]
+        n = before_["at"] + c
+        state = (F.lit(a.prior) if isinstance(a.prior, float) else a.prior) * power(d, n) + power(d, c) * before_["begin"] + a.alpha * power(d, c - 1) * F.col(f"_s{k}")
+        made[a.name] = state if a.unseen is None else F.when(n == 0, a.unseen).otherwise(state)
+    return out.withColumns(made).select(*[F.col(c) for c in view.columns if c not in made], *made)
+
+
+def with_ewma(view: DataFrame, value: str, prior: Column, name: str, alpha: float = ALPHA, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The average of the earlier defined values of one column."""
+    return with_averages(view, [Average(value, prior, name, alpha)], keys)
 
 
 def with_ewma_form(view: DataFrame) -> DataFrame:
@@ -48,22 +101,48 @@ def with_ewma_surface_form(view: DataFrame) -> DataFrame:
 
 
 def with_ewma_serve(view: DataFrame) -> DataFrame:
-    for s in SHARES:
-        view = with_ewma(view, s, F.lit(SERVE_PRIORS[s]), f"ewma_{s}")
-    return view
+    return with_averages(view, [Average(s, SERVE_PRIORS[s], f"ewma_{s}") for s in SHARES])
 
 
 def with_momentum(view: DataFrame) -> DataFrame:
-    """momentum: mean sign of short minus long averages over ten measures; completeness: serve points won times return points won."""
+    """Short and long averages of ten measures (short_<measure>, long_<measure>), and from them
+    momentum: mean sign of short minus long; completeness: serve points won times return points won."""
     view = view.withColumn("serve_pts_won", F.when(F.col("svpt") > 0, (F.col("first_won") + F.col("second_won")) / F.col("svpt")))
+    averages = [Average(v, p, f"{kind}_{v}", alpha) for v, p in MEASURES.items() for kind, alpha in (("short", ALPHA), ("long", ALPHA_LONG))]
+    view = with_averages(view, averages)
     signs = []
-    for value, prior in (("is_win", 0.5), *SERVE_PRIORS.items(), ("serve_pts_won", 0.62)):
-        view = with_ewma(with_ewma(view, value, F.lit(prior), f"short_{value}"), value, F.lit(prior), f"long_{value}", ALPHA_LONG)
+    for value in MEASURES:
         sign = F.signum(F.round(F.col(f"short_{value}") - F.col(f"long_{value}"), 12))
         signs.append(-sign if value in LOWER_IS_BETTER else sign)
     return view.withColumns({"momentum": sum(signs[1:], signs[0]) / 10, "completeness": F.col("short_serve_pts_won") * F.col("short_return_pts_won")})
 
 
+def with_dual_horizon(view: DataFrame) -> DataFrame:
+    """with_momentum, and short_surface_form: the short average of wins on the surface.
+
+    Its state starts at 0.5 with the first match there, while before that match it reads as the short average over all surfaces.
+    """
+    return with_averages(with_momentum(view), [Average("is_win", 0.5, "short_surface_form", unseen=F.col("short_is_win"))], ("surface",))
+
+
+#: Per-player columns of the two-horizon sample.
+DUAL = ("rank_log", "points_log", "age", "ht", "is_lefty", "form_short", "form_long", "surface_form", "momentum", "serve_advantage", "completeness", *SHARES)
+
+
+def dual_horizon_sample(matches: DataFrame) -> DataFrame:
+    """The two-perspective sample of the two-horizon model: 48 features, of short and long averages instead of last-n means.
+
+    A player's serve advantage takes the opponent's returns from the same match row, so no match is joined with itself.
+    """
+    view = encode(with_dual_horizon(with_h2h(player_view(matches))))
+    view = view.withColumns({"rank_log": F.ln("rank"), "points_log": F.ln("points"), "is_lefty": F.coalesce((F.col("hand") == "L").cast("int"), F.lit(0))})
+    view = view.drop(*SHARES).withColumnsRenamed({"short_is_win": "form_short", "long_is_win": "form_long", "short_surface_form": "surface_form", **{f"short_{s}": s for s in SHARES}})
+    carry = ["season", "tourney_date", "surface_code", "level_code", "best_of", "round_code"]
+    wide = both_sides(view, [*[c for c in DUAL if c != "serve_advantage"], "short_serve_pts_won", "h2h"], carry).withColumn("h2h", F.col("w_h2h"))
+    wide = wide.withColumns({f"{x}_serve_advantage": F.col(f"{x}_short_serve_pts_won") - F.col(f"{y}_return_pts_won") for x, y in ("wl", "lw")})
+    return symmetrize(wide, DUAL, ["rank_log", "points_log", "age", "ht", "form_short"], ["h2h"], carry)
+
+
 def serve_advantage(view: DataFrame) -> DataFrame:
     """match_num, side, serve_advantage: own serve points won less the opponent's return points won (with_momentum's columns)."""
     mine = F.max(F.when(F.col("side") == "w", F.struct("short_serve_pts_won", "short_return_pts_won")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boutlog.functions.columns import LEVEL_CODES, LEVEL_STRENGTH, LEVEL_STRENGTH_UNKNOWN, ROUND_CODES, ROUND_UNKNOWN, SHARES, SURFACE_CODES, UNKNOWN_CODE, encoded
-from boutlog.operators.history import ORDER
+from boutlog.operators.ordering import numbered
 
 SMALL = ("rank_log", "points_log", "age", "ht", "is_lefty", "form", "surface_form")
 
@@ -24,9 +24,17 @@ def unknown_categories(df: DataFrame) -> DataFrame:
 
 
 def fitted_codes(train: DataFrame, column: str) -> DataFrame:
-    """value, code (0-based by value) of the values seen in training; the dictionary is grouped before it is numbered."""
-    seen = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.lit(1).alias("_one"))
-    return seen.select("value", (F.row_number().over(Window.partitionBy("_one").orderBy("value")) - 1).alias("code"))
+    """value, code (0-based by value) of the values seen in training: distinct values are numbered by ranges, not in one task."""
+    seen = train.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return numbered(seen, ["value"], "code")
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the code of the column's value as ``name``; null and values not seen in training get the first one's.
+
+    A small dictionary is broadcast by Spark's own size threshold; with a larger one a frequent value is split by adaptive execution.
+    """
+    return df.join(codes.select(F.col("value").alias(column), F.col("code").alias(name)), column, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def static_features(df: DataFrame) -> DataFrame:
@@ -37,8 +45,8 @@ def static_features(df: DataFrame) -> DataFrame:
     return encode(df.withColumns(out))
 
 
-def chrono_split(matches: DataFrame, parts: Sequence[float] = (0.6, 0.8)) -> DataFrame:
-    """split (train, val, test) and match_id (0-based within it) by place in time.
+def placed_in_time(matches: DataFrame) -> DataFrame:
+    """matches with _at, their 0-based place by day and match_num, and _all, how many there are.
 
     Places come from counts per day, so no global sort meets in one task: a day's rows are numbered where the day
     is, and days' totals (one row each) are summed up.
@@ -46,10 +54,26 @@ def chrono_split(matches: DataFrame, parts: Sequence[float] = (0.6, 0.8)) -> Dat
     days = matches.groupBy("tourney_date").agg(F.count("*").alias("n"))
     totals = days.withColumn("_before", F.sum("n").over(Window.orderBy("tourney_date")) - F.col("n")).crossJoin(F.broadcast(days.agg(F.sum("n").alias("_all"))))
     placed = matches.withColumn("_in", F.row_number().over(Window.partitionBy("tourney_date").orderBy("match_num")) - 1).join(totals.drop("n"), "tourney_date")
-    at = F.col("_before") + F.col("_in")
+    return placed.withColumn("_at", F.col("_before") + F.col("_in")).drop("_in", "_before")
+
+
+def chrono_split(matches: DataFrame, parts: Sequence[float] = (0.6, 0.8)) -> DataFrame:
+    """split (train, val, test) and match_id (0-based within it) by place in time."""
+    at = F.col("_at")
     a, b = (F.floor(F.col("_all") * p) for p in parts)
     first = F.when(at < a, F.lit(0)).when(at < b, a).otherwise(b)
-    return placed.withColumns({"split": F.when(at < a, "train").when(at < b, "val").otherwise("test"), "match_id": (at - first).cast("long")}).drop("_in", "_before", "_all")
+    return placed_in_time(matches).withColumns({"split": F.when(at < a, "train").when(at < b, "val").otherwise("test"), "match_id": (at - first).cast("long")}).drop("_at", "_all")
+
+
+def expanding_folds(matches: DataFrame, folds: int = 5) -> DataFrame:
+    """matches with fold: 1 to ``folds`` for the last parts in time, each a (folds + 1)th of all matches, rounded down; 0 for those before.
+
+    Fold k is tested on its own matches, trained on all of lower folds. Under folds + 1 matches there is fold 0 alone.
+    """
+    size = F.floor(F.col("_all") / (folds + 1))
+    begin = F.col("_all") - folds * size
+    fold = F.when((size == 0) | (F.col("_at") < begin), 0).otherwise(F.floor(F.try_divide(F.col("_at") - begin, size)) + 1)
+    return placed_in_time(matches).withColumn("fold", fold.cast("int")).drop("_at", "_all")
 
 
 def season_split(df: DataFrame, validation: int, test: int) -> DataFrame:
@@ -93,6 +117,3 @@ def sample(features: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     carry = ["season", "tourney_date", "surface_code", "level_code", "best_of", "round_code"]
     wide = both_sides(view, ["player", "h2h", *SMALL, *shares, *extra], carry).withColumn("h2h", F.col("w_h2h"))
     return symmetrize(wide, ["player", *SMALL, *shares, *extra], ["rank_log", "points_log", "age", "ht", "form", *extra], ["h2h"], carry)
-
-
-__all__ = ["ORDER", "both_sides", "chrono_split", "encode", "fitted_codes", "lefty_flags", "sample", "season_split", "static_features", "symmetrize", "unknown_categories"]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import random
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from boutlog.operators import evaluation
+from boutlog.operators import evaluation, reshape
+from boutlog.session import discard, stored
 
 FEATURES = ("surface_code", "level_code", "best_of", "round_code", "p1_rank_log", "p2_rank_log", "p1_form", "p2_form", "p1_surface_form", "p2_surface_form", "p1_h2h", "rank_log_diff", "points_log_diff", "age_diff", "ht_diff", "form_diff", "p1_avg_first_won_pct", "p2_avg_first_won_pct", "p1_avg_return_pts_won", "p2_avg_return_pts_won")
 
@@ -28,8 +31,16 @@ def logistic() -> LogisticRegression:
     return LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=50)
 
 
-def fit(train: DataFrame, classifier, features: Sequence[str] = FEATURES) -> PipelineModel:
-    steps = [VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="error")]
+def fit(train: DataFrame, classifier, features: Sequence[str] = FEATURES, categorical: Sequence[str] = (), categories: int = 32) -> PipelineModel:
+    """The fitted pipeline; ``categorical`` features (with up to ``categories`` values) are split as sets by trees, without an order of their codes.
+
+    Values of a categorical feature that were not seen in training go together as one more category.
+    """
+    plain = [f for f in features if f not in categorical]
+    steps = []
+    if categorical:
+        steps = [VectorAssembler(inputCols=list(categorical), outputCol="codes", handleInvalid="error"), VectorIndexer(inputCol="codes", outputCol="sets", maxCategories=categories, handleInvalid="keep")]
+    steps.append(VectorAssembler(inputCols=[*plain, *(["sets"] if categorical else [])], outputCol="x", handleInvalid="error"))
     if classifier.getFeaturesCol() == "scaled":
         steps.append(StandardScaler(inputCol="x", outputCol="scaled", withMean=True))
     return Pipeline(stages=[*steps, classifier]).fit(train)
@@ -37,31 +48,38 @@ def fit(train: DataFrame, classifier, features: Sequence[str] = FEATURES) -> Pip
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """rows with p."""
-    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("x", "scaled", "rawPrediction", "probability", "prediction")
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("x", "codes", "sets", "scaled", "rawPrediction", "probability", "prediction")
+
+
+def sigmoid(validation: DataFrame, score: str = "p") -> PipelineModel:
+    """A logistic curve of the score, fitted to smoothed targets: (n1 + 1) / (n1 + 2) for label 1, 1 / (n0 + 2) for label 0.
+
+    A row with target t is a row of label 1 with weight t and one of label 0 with weight 1 - t; the likelihood is the same.
+    """
+    n = validation.agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")).first()
+    target = F.when(F.col("y") == 1, F.lit((n["n1"] + 1) / (n["n1"] + 2))).otherwise(F.lit(1 / (n["n0"] + 2)))
+    row = lambda y, w: F.struct(F.lit(y).alias("y"), w.alias("weight"))
+    twins = validation.select(score, target.alias("_t")).select(score, F.inline(F.array(row(1.0, F.col("_t")), row(0.0, 1 - F.col("_t")))))
+    curve = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=200, tol=1e-12, regParam=0.0)
+    return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="x"), curve]).fit(twins)
 
 
 def platt(model: PipelineModel, validation: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with p from a logistic curve fitted to the frozen model's log-odds on validation rows."""
-    logit = lambda df: predict(model, df).withColumn("_z", F.ln(evaluation.clipped(F.col("p")) / (1 - evaluation.clipped(F.col("p")))))
-    curve = Pipeline(stages=[VectorAssembler(inputCols=["_z"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y")]).fit(logit(validation))
-    return predict(curve, logit(rows).drop("p")).drop("_z")
+    """rows with p calibrated: sigmoid() of the frozen model's probability, fitted on validation rows."""
+    scores = lambda df: predict(model, df).withColumnRenamed("p", "_z")
+    return predict(sigmoid(scores(validation), "_z"), scores(rows)).drop("_z")
 
 
-def expanding_folds(matches: DataFrame, folds: int = 5) -> list[tuple[DataFrame, DataFrame]]:
-    """(earlier, next) parts in time: the test part is a (folds + 1)th of the dates' rows; both views of a match stay together."""
-    cuts = matches.stat.approxQuantile("_t", [i / (folds + 1) for i in range(1, folds + 1)] + [1.0], 0.001) if "_t" in matches.columns else None
-    timed = matches if cuts else matches.withColumn("_t", F.unix_date("tourney_date").cast("double"))
-    cuts = cuts or timed.stat.approxQuantile("_t", [i / (folds + 1) for i in range(1, folds + 1)] + [1.0], 0.001)
-    return [(timed.where(F.col("_t") <= a), timed.where((F.col("_t") > a) & (F.col("_t") <= b))) for a, b in zip(cuts, cuts[1:])]
+def folded(sample: DataFrame, folds: int = 5) -> DataFrame:
+    """sample with fold (see reshape.expanding_folds) of its matches: both views of a match stay together."""
+    places = reshape.expanding_folds(sample.select("match_num", "tourney_date").distinct(), folds).select("match_num", "fold")
+    return sample.join(places, "match_num")
 
 
-def search(train: DataFrame, classifiers: Sequence, features: Sequence[str] = FEATURES, folds: int = 3) -> tuple[object, list[float]]:
-    """The classifier of the least mean log-loss over expanding folds, and all means."""
-    means = []
-    for c in classifiers:
-        losses = [evaluation.losses(predict(fit(a, c, features), b)).first()["log_loss"] for a, b in expanding_folds(train, folds)]
-        means.append(sum(x for x in losses if x is not None) / max(1, sum(x is not None for x in losses)))
-    return classifiers[min(range(len(means)), key=means.__getitem__)], means
+def expanding_folds(sample: DataFrame, folds: int = 5) -> list[tuple[DataFrame, DataFrame]]:
+    """(earlier, next) parts of each fold of a sample, which may have its folds already."""
+    tagged = sample if "fold" in sample.columns else folded(sample, folds)
+    return [(tagged.where(F.col("fold") < k), tagged.where(F.col("fold") == k)) for k in range(1, folds + 1)]
 
 
 def importance(spark, model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -119,30 +137,63 @@ def outcomes(walked: DataFrame, base: str, other: str) -> DataFrame:
     return evaluation.paired(of(base), of(other))
 
 
-def read_out(train: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 3) -> DataFrame:
-    """setting, fold, n, accuracy, brier, log_loss of every classifier over expanding folds."""
-    out = None
-    for fold, (earlier, later) in enumerate(expanding_folds(train, folds), 1):
-        for name, c in classifiers.items():
-            scored = predict(fit(earlier, c, features), later)
-            right = F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy")
-            part = scored.agg(F.count("*").alias("n"), right).crossJoin(evaluation.losses(scored)).select(F.lit(name).alias("setting"), F.lit(fold).alias("fold"), "n", "accuracy", "brier", "log_loss")
-            out = part if out is None else out.unionByName(part)
-    return out
+def metrics_of(scored: DataFrame) -> dict:
+    """n, accuracy, brier, log_loss (one aggregate) and auc of scored rows."""
+    p = evaluation.clipped(F.col("p"))
+    loss = -F.avg(F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+    one = scored.agg(F.count("*").alias("n"), F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), loss.alias("log_loss"))
+    return {**one.first().asDict(), "auc": evaluation.auc(scored).first()["auc"]}
+
+
+def read_out(sample: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 5, at_once: int = 4) -> DataFrame:
+    """setting, fold, n, accuracy, brier, log_loss, auc of every classifier over expanding folds; a row per classifier and fold.
+
+    The sample is tagged with its folds and stored once; fits on it run ``at_once`` at a time, as each is too small to keep a
+    cluster busy. Rows come in the order of settings and folds, whichever fit ends first.
+    """
+    tagged = stored(folded(sample, folds))
+    parts = expanding_folds(tagged, folds)
+
+    def run(job: tuple[str, int]) -> tuple:
+        name, k = job
+        earlier, later = parts[k]
+        found = metrics_of(predict(fit(earlier, classifiers[name], features), later))
+        return (name, k + 1, found["n"], found["accuracy"], found["brier"], found["log_loss"], found["auc"])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(run, [(name, k) for name in classifiers for k in range(folds)]))
+    discard(tagged)
+    return sample.sparkSession.createDataFrame(rows, "setting string, fold int, n long, accuracy double, brier double, log_loss double, auc double")
 
 
 def chosen(table: DataFrame) -> DataFrame:
     """Mean metrics of each setting of read_out, and the one of the least mean log-loss (then the first by name) marked."""
-    means = table.groupBy("setting").agg(*[F.avg(m).alias(m) for m in ("accuracy", "brier", "log_loss")])
-    best = means.agg(F.min(F.struct("log_loss", "setting"))["setting"].alias("_best"))
+    means = table.groupBy("setting").agg(*[F.avg(m).alias(m) for m in ("accuracy", "brier", "log_loss", "auc")])
+    best = means.agg(F.min(F.struct(F.col("log_loss").isNull().alias("none"), "log_loss", "setting"))["setting"].alias("_best"))
     return means.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("setting") == F.col("_best")).drop("_best")
 
 
-def drawn(n: int, seed: int = 42) -> dict[str, RandomForestClassifier]:
-    """n forests with random trees, depth, leaf size and feature share, for a search."""
+#: The search space: trees, depth (30 is the deepest there is), rows in a leaf, share of features at a split, share of rows of a tree.
+#: A least number of rows to split a node has no counterpart; a node is split where both parts keep their leaf's rows.
+SPACE = {"numTrees": (100, 200, 300, 500), "maxDepth": (10, 15, 20, 30), "minInstancesPerNode": (1, 2, 4, 8), "featureSubsetStrategy": ("sqrt", "log2"), "bootstrap": (True,), "subsamplingRate": (0.7, 0.8, 0.9, 1.0), "impurity": ("gini",)}
+
+
+def drawn(n: int = 50, seed: int = 42, space: Mapping[str, Sequence] = SPACE) -> dict[str, RandomForestClassifier]:
+    """n different forests with settings drawn from the space (all of it, if it has no more), by name."""
     rnd = random.Random(seed)
+    every = list(itertools.product(*space.values()))
     out = {}
-    for _ in range(n):
-        trees, depth, leaf, share = rnd.choice((10, 20, 30)), rnd.choice((3, 4, 6, 8)), rnd.choice((1, 5, 20)), rnd.choice(("sqrt", "log2", "onethird"))
-        out[f"{trees}-{depth}-{leaf}-{share}"] = forest(trees, depth, minInstancesPerNode=leaf, featureSubsetStrategy=share)
+    for values in rnd.sample(every, min(n, len(every))):
+        settings = dict(zip(space, values))
+        out["-".join(map(str, values))] = RandomForestClassifier(featuresCol="x", labelCol="y", seed=seed, **settings)
     return out
+
+
+def search(sample: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 5, at_once: int = 4, save_to: str | None = None) -> tuple[DataFrame, str, PipelineModel]:
+    """The table of read_out, the name of the chosen classifier, and it fitted again on the whole sample (and saved)."""
+    table = read_out(sample, classifiers, features, folds, at_once)
+    name = chosen(table).where("chosen").first()["setting"]
+    model = fit(sample, classifiers[name], features)
+    if save_to:
+        model.write().overwrite().save(save_to)
+    return table, name, model

@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from boutlog.functions.columns import AGE_GAPS, FORM_GAPS, LEVEL_CODES, LEVEL_STRENGTH, RANK_GAPS, ROUND_CODES, SERVE_PRIORS, SERVE_SCORE, SERVE_SCORE_CAP, SHARES, SURFACE_CODES, binned, binned_sql, half_width, share_sql, sorted_pair, tourney_base
-from boutlog.operators import evaluation, history, odds, recursive, reshape, resolution, venue
+from boutlog.operators import checks, evaluation, history, odds, recursive, reshape, resolution, venue
+from boutlog.operators.ordering import shuffled
 from boutlog.plans import models
-from boutlog.session import prepare
+from boutlog.session import prepare, stored
 from boutlog.sources.match_log import COLUMNS, MATCHES_SQL, clean, match_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,19 @@ def register(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None
         ORACLES[name] = f"WITH {','.join([MATCHES_SQL, *ctes])}\n{sql}"
 
 
+def half_up(df: DataFrame) -> DataFrame:
+    """Doubles to six places, halves up, after the last bits in which engines differ are rounded away: ties fall alike in each."""
+    return df.select(*[(F.floor(F.round(F.col(c) * 1_000_000, 4) + 0.5) / 1_000_000).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def half_up_sql(e: str) -> str:
+    return f"floor(round(({e}) * 1000000, 4) + 0.5) / 1000000 + 0.0"
+
+
+def half(*columns: str) -> str:
+    return ", ".join(f"{half_up_sql(c)} AS {c.split('.')[-1]}" for c in columns)
+
+
 def r6(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c.split('.')[-1]}" for c in columns)
 
@@ -101,6 +115,11 @@ register(
     "SELECT 'surface' AS column_name, 'Sand' AS value, count(*) AS n FROM matches WHERE match_num % 11 = 0 UNION ALL SELECT 'round', 'Q1', count(*) FROM matches WHERE match_num % 17 = 0",
 )
 register("fitted_encoding", lambda m: reshape.fitted_codes(m.where("season < 1997"), "tourney_id"), "SELECT tourney_id AS value, row_number() OVER (ORDER BY tourney_id) - 1 AS code FROM (SELECT DISTINCT tourney_id FROM matches WHERE season < 1997)")
+register(
+    "applied_encoding",
+    lambda m: reshape.apply_codes(m, reshape.fitted_codes(m.where("season < 1997"), "tourney_id"), "tourney_id", "tourney_code").select("match_num", "tourney_code"),
+    "SELECT match_num, coalesce(code, 0) AS tourney_code FROM matches LEFT JOIN (SELECT tourney_id, row_number() OVER (ORDER BY tourney_id) - 1 AS code FROM (SELECT DISTINCT tourney_id FROM matches WHERE season < 1997)) USING (tourney_id)",
+)
 register(
     "static_features",
     lambda m: reshape.static_features(m).select("match_num", *[f"{x}_{c}" for x in "wl" for c in ("rank_log", "points_log", "is_lefty")], "round_code"),
@@ -112,6 +131,17 @@ register(
     """SELECT match_num, split, row_number() OVER (PARTITION BY split ORDER BY i) - 1 AS match_id FROM (SELECT match_num, i, CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) THEN 'val' ELSE 'test' END AS split
        FROM (SELECT match_num, row_number() OVER (ORDER BY tourney_date, match_num) - 1 AS i, count(*) OVER () AS n FROM matches))""",
 )
+register(
+    "expanding_folds",
+    lambda m: reshape.expanding_folds(m).select("match_num", "fold"),
+    "SELECT match_num, CAST(CASE WHEN i < n - 5 * (n // 6) THEN 0 ELSE (i - (n - 5 * (n // 6))) // (n // 6) + 1 END AS INT) AS fold FROM (SELECT match_num, row_number() OVER (ORDER BY tourney_date, match_num) - 1 AS i, count(*) OVER () AS n FROM matches)",
+)
+_views = "(SELECT match_num, unnest([1, 0]) AS y FROM matches)"
+register(
+    "seeded_shuffle",
+    lambda m: shuffled(m.select("match_num", F.explode(F.array(F.lit(1), F.lit(0))).alias("y")), ["match_num", "y"]),
+    f"SELECT match_num, y, row_number() OVER (ORDER BY md5('42:' || match_num || ':' || y), match_num, y) - 1 AS place FROM {_views}",
+)
 register("season_split", lambda m: reshape.season_split(m, 1996, 1997).groupBy("split").agg(F.count("*").alias("n")), "SELECT CASE WHEN season < 1996 THEN 'train' WHEN season = 1996 THEN 'val' WHEN season = 1997 THEN 'test' END AS split, count(*) AS n FROM matches GROUP BY 1")
 register(
     "gap_buckets",
@@ -126,6 +156,14 @@ register(
     f"SELECT match_num, CAST((w_hand = 'L') <> (l_hand = 'L') AS INT) AS one_lefty, CAST(best_of = 5 AS INT) AS is_bo5, CAST(round = 'QF' AS INT) AS is_qf, round({case('level', LEVEL_STRENGTH, 0.6)} * CAST(best_of = 5 AS INT), 6)::DOUBLE + 0.0 AS pressure FROM matches",
 )
 
+_bad_id = "CASE WHEN match_num % 50 = 0 THEN replace(tourney_id, '-', '') WHEN match_num % 51 <> 0 THEN tourney_id END"
+register(
+    "id_format_report",
+    lambda m: checks.violations(m.withColumn("tourney_id", F.when(F.col("match_num") % 50 == 0, F.replace("tourney_id", F.lit("-"), F.lit(""))).when(F.col("match_num") % 51 != 0, F.col("tourney_id"))), checks.format_check("tourney_id")),
+    f"SELECT x AS value, count(*) AS n FROM (SELECT {_bad_id} AS x FROM matches) WHERE NOT regexp_matches(x, '^[0-9]{{4}}-.+') GROUP BY x ORDER BY x LIMIT 5",
+)
+register("checked_log", lambda m: checks.checked(m, [checks.format_check("tourney_id"), checks.Check("price_above_one", F.col("odds_avg_w") <= 1, F.col("match_num"))], stored).groupBy("season").agg(F.count("*").alias("n")), "SELECT season, count(*) AS n FROM matches GROUP BY season")
+
 # --- last-n windows
 
 register("form_last10_365d", lambda m: history.with_form(history.player_view(m)).select(*KEY, "form"), f"SELECT match_num, side, {r6('form')} FROM form", PV, FORM)
@@ -303,27 +341,53 @@ def fold(value: str, prior: str, alpha: float, partition: str = "player") -> str
 
 
 _EWMA = f"e AS (SELECT *, {fold('is_win', '0.5', 0.18)} AS ewma_form FROM pv)"
-register("ewma_form", lambda m: recursive.with_ewma_form(history.player_view(m)).select(*KEY, "ewma_form"), f"SELECT match_num, side, {r6('ewma_form')} FROM e", PV, _EWMA)
+register("ewma_form", lambda m: half_up(recursive.with_ewma_form(history.player_view(m)).select(*KEY, "ewma_form")), f"SELECT match_num, side, {half('ewma_form')} FROM e", PV, _EWMA)
 register(
     "ewma_surface_form",
-    lambda m: recursive.with_ewma_surface_form(recursive.with_ewma_form(history.player_view(m))).select(*KEY, "ewma_surface_form"),
-    f"SELECT match_num, side, round({fold('is_win', 'first_ewma', 0.18, 'player, surface')}, 6) + 0.0 AS ewma_surface_form FROM s",
+    lambda m: half_up(recursive.with_ewma_surface_form(recursive.with_ewma_form(history.player_view(m))).select(*KEY, "ewma_surface_form")),
+    f"SELECT match_num, side, {half_up_sql(fold('is_win', 'first_ewma', 0.18, 'player, surface'))} AS ewma_surface_form FROM s",
     PV, _EWMA, "s AS (SELECT *, first_value(ewma_form) OVER (PARTITION BY player, surface ORDER BY tourney_date, match_num) AS first_ewma FROM e)",
 )
 register("ewma_serve", lambda m: recursive.with_ewma_serve(history.player_view(m)).select(*KEY, *[F.round(f"ewma_{s}", 12).alias(f"ewma_{s}") for s in SHARES]), "SELECT match_num, side, " + ", ".join(f"round(round({fold(s, str(v), 0.18)}, 12), 6) + 0.0 AS ewma_{s}" for s, v in SERVE_PRIORS.items()) + " FROM pv", PV)
 _ten = [("is_win", 0.5), *SERVE_PRIORS.items(), ("serve_pts_won", 0.62)]
 register(
     "ewma_momentum",
-    lambda m: recursive.with_momentum(history.player_view(m)).select(*KEY, "momentum", "completeness"),
-    "SELECT match_num, side, round((" + " + ".join(f"{'-' if s in recursive.LOWER_IS_BETTER else ''}sign(round(a_{s} - b_{s}, 12))" for s, _ in _ten) + ") / 10, 6) + 0.0 AS momentum, round(a_serve_pts_won * a_return_pts_won, 6) + 0.0 AS completeness FROM t",
+    lambda m: half_up(recursive.with_momentum(history.player_view(m)).select(*KEY, "momentum", "completeness")),
+    "SELECT match_num, side, round((" + " + ".join(f"{'-' if s in recursive.LOWER_IS_BETTER else ''}sign(round(a_{s} - b_{s}, 12))" for s, _ in _ten) + ") / 10, 6) + 0.0 AS momentum, " + half_up_sql("a_serve_pts_won * a_return_pts_won") + " AS completeness FROM t",
     PV, "t AS (SELECT match_num, side, " + ", ".join(f"{fold(s, str(v), 0.18)} AS a_{s}, {fold(s, str(v), 0.05)} AS b_{s}" for s, v in _ten) + " FROM pv)",
 )
 register(
     "serve_advantage",
-    lambda m: recursive.serve_advantage(recursive.with_momentum(history.player_view(m))),
-    "SELECT a.match_num, a.side, round(a.s - b.r, 6) + 0.0 AS serve_advantage FROM t a JOIN t b ON a.match_num = b.match_num AND a.side <> b.side",
+    lambda m: half_up(recursive.serve_advantage(recursive.with_momentum(history.player_view(m)))),
+    f"SELECT a.match_num, a.side, {half_up_sql('a.s - b.r')} AS serve_advantage FROM t a JOIN t b ON a.match_num = b.match_num AND a.side <> b.side",
     PV, f"t AS (SELECT match_num, side, {fold('serve_pts_won', '0.62', 0.18)} AS s, {fold('return_pts_won', '0.35', 0.18)} AS r FROM pv)",
 )
+_FIRST_SEEDED = f"e AS (SELECT *, {fold('is_win', '0.5', 0.18)} AS form_short, {fold('is_win', '0.5', 0.05)} AS form_long FROM pv)"
+#: The surface state starts at 0.5, but reads as the general form before the surface's first match.
+_DUAL = f"d AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY player, surface ORDER BY tourney_date, match_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 THEN form_short ELSE {fold('is_win', '0.5', 0.18, 'player, surface')} END AS surface_form FROM e)"
+register(
+    "dual_horizon_form",
+    lambda m: half_up(recursive.with_dual_horizon(history.player_view(m)).select(*KEY, F.col("short_is_win").alias("form_short"), F.col("long_is_win").alias("form_long"), F.col("short_surface_form").alias("surface_form"))),
+    f"SELECT match_num, side, {half('form_short', 'form_long', 'surface_form')} FROM d",
+    PV, _FIRST_SEEDED, _DUAL,
+)
+_FOLDS = "t AS (SELECT match_num, side, " + ", ".join(f"{fold(s, str(v), 0.18)} AS a_{s}, {fold(s, str(v), 0.05)} AS b_{s}" for s, v in _ten) + " FROM pv)"
+_momentum = " + ".join(f"{'-' if s in recursive.LOWER_IS_BETTER else ''}sign(round(a_{s} - b_{s}, 12))" for s, _ in _ten)
+_DUAL_SIDES = f"""ds AS (SELECT d.*, ln(d.rank) AS rank_log, ln(d.points) AS points_log, CAST(d.hand = 'L' AS INT) AS is_lefty, h2h.h2h, ({_momentum}) / 10 AS momentum, a_serve_pts_won * a_return_pts_won AS completeness, a_serve_pts_won, {', '.join(f'a_{s}' for s in SHARES)}
+          FROM d JOIN t USING (match_num, side) JOIN h2h USING (match_num, side))"""
+
+
+def _dual_sql() -> str:
+    plain = {"ht", "is_lefty"}
+    value = lambda x, y, n: f"{x}.a_serve_pts_won - {y}.a_return_pts_won" if n == "serve_advantage" else f"{x}.{'a_' if n in SHARES else ''}{n}"
+    whole = lambda e, n: e if n in plain else half_up_sql(e)
+    parts = [f"{whole(value(x, y, n), n)} AS p{i}_{n}" for n in recursive.DUAL for i, x, y in ((1, "a", "b"), (2, "b", "a"))]
+    parts += [f"{whole(f'a.{n} - b.{n}', n)} AS {n}_diff" for n in ("rank_log", "points_log", "age", "ht", "form_short")]
+    codes = f"{case('a.surface', SURFACE_CODES, -1)} AS surface_code, {case('a.level', LEVEL_CODES, -1)} AS level_code, a.best_of, {case('a.round', ROUND_CODES, 3)} AS round_code, a.season, a.tourney_date, round(a.h2h, 6) + 0.0 AS p1_h2h"
+    return f"SELECT a.match_num, CAST(a.side = 'w' AS INT) AS y, {codes}, {', '.join(parts)} FROM ds a JOIN ds b ON a.match_num = b.match_num AND a.side <> b.side"
+
+
+register("dual_horizon_48", lambda m: half_up(recursive.dual_horizon_sample(m)), _dual_sql(), PV, H2H, _FIRST_SEEDED, _DUAL, _FOLDS, _DUAL_SIDES)
 register("elo", lambda m: recursive.elo_features(recursive.elo(m)))
 
 # --- reshaping
@@ -409,6 +473,14 @@ def sliced(m: DataFrame, points: float = 0.3, lead: float = 0.1) -> DataFrame:
     return evaluation.slices(evaluation.slice_frame(wide.join(evaluation.match_evaluation(fixed_score(m, points, lead)), "match_num")))
 
 
+def checked_frame(m: DataFrame) -> DataFrame:
+    """The slice frame, joined one to one with the evaluation; its mean must be the accuracy that the evaluation reports."""
+    evaluated = stored(evaluation.match_evaluation(fixed_score(m)))
+    reported = evaluated.agg(F.avg("correct")).first()[0]
+    frame = m.select("match_num", "surface", "level").join(evaluated, "match_num")
+    return checks.checked(frame, [checks.MeanCheck("match_accuracy", "correct", reported)], stored)
+
+
 def _slices_sql(name: str, ev: str) -> str:
     f = lambda c: f"abs(w.{c} - l.{c})"
     frame = f"""{name}_f AS (SELECT w.surface, w.level, CAST(w.best_of AS VARCHAR) AS best_of, w.round, least(w.hand, l.hand) || '-vs-' || greatest(w.hand, l.hand) AS hands, {binned_sql(f('rank'), RANK_GAPS)} AS rank_gap, {binned_sql(f('age'), AGE_GAPS)} AS age_gap,
@@ -426,6 +498,7 @@ def _slices_sql(name: str, ev: str) -> str:
 
 _SLICES = (PV, FORM, SCORED, _slices_sql("sl", "sc_ev"))
 register("slices_1d_2d", lambda m: sliced(m).select("degree", "slice", "support", "support_share", "accuracy", "error_rate", "gap", "brier", "log_loss", "mean_prob"), f"SELECT degree, slice, support, round(support / all_n, 6) + 0.0 AS support_share, {r6('accuracy')}, round(1 - accuracy, 6) + 0.0 AS error_rate, round(accuracy - all_accuracy, 6) + 0.0 AS gap, {r6('brier', 'log_loss', 'mean_prob')} FROM sl_t", *_SLICES)
+register("slice_frame_checked", lambda m: checked_frame(m).groupBy("surface").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy")), "SELECT surface, count(*) AS n, round(avg(correct), 6) + 0.0 AS accuracy FROM sc_ev JOIN matches USING (match_num) GROUP BY surface", SCORED)
 register("slice_wilson", lambda m: sliced(m).select("slice", "support", "lower", "upper", "below_overall"), "SELECT slice, support, round(greatest(0, lo), 6) + 0.0 AS lower, round(least(1, hi), 6) + 0.0 AS upper, least(1, hi) < all_accuracy AS below_overall FROM sl_t", *_SLICES)
 register("worst_slices", lambda m: evaluation.worst_slices(sliced(m)).select("slice", "support", "gap"), "SELECT slice, support, round(accuracy - all_accuracy, 6) + 0.0 AS gap FROM (SELECT *, accuracy - all_accuracy AS g, count(*) FILTER (accuracy - all_accuracy <= -0.05) OVER () AS k, row_number() OVER (ORDER BY accuracy - all_accuracy, support DESC, slice) AS i FROM sl_t) WHERE CASE WHEN k > 0 THEN g <= -0.05 ELSE i <= 10 END", *_SLICES)
 register(
@@ -434,6 +507,13 @@ register(
     "SELECT a.slice, a.degree, a.support, round(a.accuracy, 6) + 0.0 AS full_accuracy, round(b.accuracy, 6) + 0.0 AS rank_accuracy, CASE WHEN b.hits > a.hits THEN 'rank' ELSE 'full' END AS best_model, round(b.accuracy - a.accuracy, 6) + 0.0 AS rank_delta FROM sl_t a JOIN s2_t b ON a.slice = b.slice",
     *_SLICES, OTHER, _slices_sql("s2", "so_ev"),
 )
+register("best_slices", lambda m: evaluation.best_slices(sliced(m)).select("slice", "support", "gap"), "SELECT slice, support, round(accuracy - all_accuracy, 6) + 0.0 AS gap FROM sl_t ORDER BY accuracy - all_accuracy DESC, support DESC, slice LIMIT 8", *_SLICES)
+register(
+    "slice_gains_losses",
+    lambda m: evaluation.gains_and_losses(evaluation.compare_slices({"full": sliced(m), "rank": sliced(m, 0.0, 0.0)}, "full"), "rank_delta"),
+    "SELECT * FROM (SELECT 'gain' AS kind, slice, support, round(d, 6) + 0.0 AS delta FROM x ORDER BY d DESC, support DESC, slice LIMIT 8) UNION ALL SELECT * FROM (SELECT 'loss', slice, support, round(d, 6) + 0.0 FROM x ORDER BY d, support DESC, slice LIMIT 8)",
+    *_SLICES, OTHER, _slices_sql("s2", "so_ev"), "x AS (SELECT a.slice, a.support, b.accuracy - a.accuracy AS d FROM sl_t a JOIN s2_t b ON a.slice = b.slice)",
+)
 register("worst_predictions", lambda m: evaluation.worst_predictions(evaluation.match_evaluation(fixed_score(m))), f"SELECT match_num, {r6('prob')}, correct, round(1 - prob, 6) + 0.0 AS error FROM sc_ev ORDER BY prob, match_num LIMIT 5", SCORED)
 
 
@@ -519,7 +599,7 @@ ORACLES["page_links"] = """SELECT page_id, CAST(place AS INT) AS place, href FRO
 
 
 def _parts(m: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = reshape.sample(history.baseline(m))
+    s = stored(reshape.sample(history.baseline(m)))  # each pass of a fit would compute the windows again
     return s.where("season < 1996"), s.where("season = 1996"), s.where("season >= 1997")
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from boutlog.sources.feeds import Feed, read_years
+
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
 SERVE = ("svpt", "ace", "df", "first_in", "first_won", "second_won", "sv_gms", "bp_saved", "bp_faced")
 
@@ -90,27 +92,16 @@ SEASON_SCHEMA = T.StructType(
 
 
 def read_seasons(spark: SparkSession, folder: str, years: Sequence[int], tour: str = "atp", columns: Sequence[str] | None = None, required: bool = True) -> DataFrame:
-    """``{tour}_matches_{year}.csv`` of the years, with ``season``; files are matched by header, missing columns are null.
+    """``{tour}_matches_{year}.csv`` of the years in one scan, with ``season``; columns are found by header, missing ones are null.
 
-    A missing file raises where ``required``, else it is left out. ``columns`` prunes the scan.
+    A missing file raises where ``required``, else it is left out with a warning.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    out = None
-    for year in years:
-        path = hadoop.Path(f"{folder}/{tour}_matches_{year}.csv")
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            if required:
-                raise FileNotFoundError(str(path))
-            continue
-        raw = spark.read.option("header", True).csv(str(path))
-        have = {f.name: f.dataType for f in SEASON_SCHEMA}
-        wanted = [c for c in columns or have if c in have]
-        typed = raw.select(*[(F.expr(f"try_cast(`{c}` AS {have[c].simpleString()})") if c in raw.columns else F.lit(None).cast(have[c])).alias(c) for c in wanted])
-        if "tourney_date" in wanted:
-            typed = typed.withColumn("tourney_date", F.to_date(F.col("tourney_date").cast("string"), "yyyyMMdd"))
-        typed = typed.withColumn("season", F.lit(year))
-        out = typed if out is None else out.unionByName(typed)
-    return out if out is not None else spark.createDataFrame([], T.StructType([*SEASON_SCHEMA, T.StructField("season", T.IntegerType())]))
+    kinds = {f.name: "date" if f.name == "tourney_date" else f.dataType.simpleString() for f in SEASON_SCHEMA}
+    wanted = [c for c in columns or kinds if c in kinds]
+    out = read_years(spark, folder, f"{tour}_matches_{{year}}.csv", years, Feed(kinds, "match_num"), wanted, required)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.DateType() if kinds[c] == "date" else SEASON_SCHEMA[c].dataType) for c in wanted] + [T.StructField("season", T.IntegerType())]))
+    return out
 
 
 def clean(df: DataFrame, required: Sequence[str]) -> DataFrame:
