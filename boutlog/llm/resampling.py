@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boutlog.operators.ordering import numbered
+from boutlog.session import discard, stored
 
 ORDER, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, 42
 PART = 1 << 15  # words whose states are made at a time
@@ -121,7 +122,8 @@ def resampled(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
     """key, n_features, weight, score, rank of every row; rank is null where it is not drawn."""
     table = gains(docs, target, text, order, buckets)
     scored = weights(docs, table, key, text, order).withColumn("score", F.col("weight") + gumbel(key, seed))
-    scored = scored.withColumn("_short", F.col("n_words") < least_words)
+    scored = stored(scored.withColumn("_short", F.col("n_words") < least_words))  # finding ranges would scan the texts once more
     placed = numbered(scored, ["_short", F.col("score").desc(), F.col(key).asc_nulls_last()], "_place")
+    discard(scored)
     drawn = percent * placed.where("NOT _short").count() // 100
     return placed.select(key, "n_features", "weight", "score", F.when(F.col("_place") < drawn, F.col("_place") + 1).alias("rank"))
