@@ -41,14 +41,15 @@ class Encoder:
 
     A run is white space with the word after it. The tokenizer never joins what stands before a run's
     white space with it, so a text's ids are its runs' ids in order, and only new runs are encoded.
-    Runs are told apart by 64-bit hashes.
+    Runs are told apart by 64-bit hashes. A text that spells a special token is encoded whole, as the tokenizer takes it.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile(b"|".join([_ODD.pattern, *special]))
         # bytes of text behind each id: in the byte-level alphabet every character stands for one byte
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -89,8 +90,8 @@ class Encoder:
         self.known.update(zip((hashes[i] for i in which), range(n, n + len(which))))
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        if _ODD.search(b"\n".join(texts)):
-            odd = [bool(_ODD.search(t)) for t in texts]
+        if self.odd.search(b"\n".join(texts)):
+            odd = [bool(self.odd.search(t)) for t in texts]
             plain = iter(self.batch([b"" if o else t for o, t in zip(odd, texts)]))
             return [self.whole([t])[0] if o else ids for o, t, ids in zip(odd, texts, plain)]
         if len(self.known) > self.most:

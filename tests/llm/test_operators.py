@@ -57,9 +57,11 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    got = packing.pack(docs.where("doc_id IS NOT NULL"), tokenizer_path()).toPandas()
-    for i, text in enumerate(TEXTS):
+    spelled = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y " * 40, "<|endoftext |> <|end"]
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text").union(docs.sparkSession.createDataFrame([(100 + i, x) for i, x in enumerate(spelled)], "doc_id long, text string"))
+    got = packing.pack(some.withColumns({"start": F.lit("own"), "length": F.lit(0), "offset": F.lit(None)}), tokenizer_path()).toPandas()
+    assert 50256 in t.encode(spelled[0]).ids
+    for i, text in [*enumerate(TEXTS), *((100 + i, x) for i, x in enumerate(spelled))]:
         ids, at = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4"), 0
         for r in got[got.doc_id == i].sort_values("start").itertuples():
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
