@@ -11,8 +11,9 @@ Alignments of many regions advance side by side, and one ends as soon as all its
 Documents are scanned where they are read, with no shuffle. The benchmark is the stated query set: it
 is taken in blocks of at most ``block_bytes`` of text, each block broadcast for one scan of all rows.
 
-Texts are compared as UTF-8 bytes, A-Z lower-cased, each ASCII white space as a blank. Null or empty
-texts and null or empty items match nothing. Items under ``Q`` bytes match exact and as whole words. Repeated rows and
+Texts are compared by code points, A-Z lower-cased, each ASCII white space as a blank; an accented letter is one character
+and one edit (bytes that are no UTF-8 count as one replacement character each). Null or empty
+texts and null or empty items match nothing. Items under ``Q`` characters match exact and as whole words. Repeated rows and
 repeated items are each reported; of equally good places of an item the first begin counts. Other columns are not looked
 at; empty tables give no rows. A very long text is held whole in the task that reads it.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from boutlog.llm.textkit import LOWER, SEPARATOR, Block, texts
 
 Q, MAX_RATE, BLOCK_BYTES = 8, 0.10, 4 << 20
-_FOLD = np.where(SEPARATOR, 32, LOWER).astype(np.uint8)
+_FOLD = np.where(SEPARATOR, 32, LOWER).astype(np.uint32)[:128]
 _FOLD[0] = 32
 _BITS = 22
 _UNIT = np.int64(1 << 40)
@@ -36,17 +37,40 @@ _NEVER = np.int64(1 << 61)
 _ABREAST = 64  # alignments that advance side by side
 
 
+class Characters(Block):
+    """Texts side by side as they are compared: code points, apart by one that no item holds."""
+
+    def __init__(self, held: list[bytes]):
+        decoded = [x.decode("utf-8", "replace") for x in held]
+        data = np.frombuffer(("\n".join(decoded) + "\n").encode("utf-32-le"), np.uint32)
+        self.data = np.where(data < 128, _FOLD[data & 127], data)
+        self.lengths = np.fromiter(map(len, decoded), np.int64, len(decoded))
+        self.begins = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        self.data[self.begins[1:] - 1] = 10
+
+    def text(self, i: int) -> np.ndarray:
+        return self.data[self.begins[i] : self.begins[i] + self.lengths[i]]
+
+
+def _places(whole: bytes, sought: bytes) -> Iterator[int]:
+    """Where the code points of ``sought`` stand in ``whole``, both with four bytes each."""
+    at = whole.find(sought)
+    while at >= 0:
+        if at % 4 == 0:
+            yield at // 4
+        at = whole.find(sought, at + 1)
+
+
 class Index:
     """The q-grams of some items, with the edit budget and the bound of each item."""
 
     def __init__(self, ids: list, items: list[bytes], q: int, max_rate: float):
         self.q, self.ids = q, ids
-        folded = [_FOLD[np.frombuffer(x, np.uint8)].tobytes() for x in items]
-        self.items = [np.frombuffer(x, np.uint8) for x in folded]
-        self.n = n = np.fromiter(map(len, folded), np.int64, len(folded))
+        block = Characters(items)
+        self.items = [block.text(i) for i in range(len(items))]
+        self.n = n = block.lengths
         self.edits = (n * max_rate).astype(np.int64)
         self.bound = n - q + 1 - q * self.edits
-        block = Block(folded, lower=False)
         grams = n - q + 1
         item = np.repeat(np.arange(len(items)), grams)
         at = np.arange(len(item)) - np.repeat(np.cumsum(grams) - grams, grams)
@@ -59,7 +83,7 @@ class Index:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def regions(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def regions(self, block: Characters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """text, item, least diagonal of every band (of 2 * e diagonals) that reaches its item's bound."""
         q = self.q
         none = np.zeros(0, np.int64)
@@ -101,7 +125,7 @@ class Index:
         item = (key // width) % len(self.items)
         return key // width // len(self.items), item, (key % width) * np.maximum(1, self.edits[item]) - longest
 
-    def align(self, block: Block, text: np.ndarray, item: np.ndarray, low: np.ndarray) -> np.ndarray:
+    def align(self, block: Characters, text: np.ndarray, item: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Per region (sorted by descending length of the item) edits, begin and end of the item's best alignment to a part of the text.
 
         Edits over the budget are none: begin -1. A cell holds edits * _UNIT + begin, so that one minimum settles both; its
@@ -112,12 +136,12 @@ class Index:
         base = low - e  # the diagonal of column 0
         length = block.lengths[text]
         columns = np.arange(width)
-        x = np.zeros((len(item), int(n.max())), np.uint8)
+        x = np.zeros((len(item), int(n.max())), np.int32)
         for r, i in enumerate(item.tolist()):
             x[r, : n[r]] = self.items[i]
-        # strip[:, j - 1 + d] is the text's byte before place base + j + d
+        # strip[:, j - 1 + d] is the text's character before place base + j + d
         place = base[:, None] + np.arange(x.shape[1] + width)
-        strip = block.data[np.clip(block.begins[text][:, None] + place, 0, len(block.data) - 1)].astype(np.int16)
+        strip = block.data[np.clip(block.begins[text][:, None] + place, 0, len(block.data) - 1)].astype(np.int32)
         strip[(place < 0) | (place >= length[:, None])] = -1
         closed = columns > 4 * e[:, None]
         at = base[:, None] + columns
@@ -149,7 +173,7 @@ class Index:
         out[out[:, 0] > e, 1] = -1
         return out
 
-    def find(self, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
+    def find(self, block: Characters) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, edits), the best place of each pair, the first of equals."""
         text, item, low = self.regions(block)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -158,7 +182,7 @@ class Index:
             e, begin = int(self.edits[i]), int(block.begins[t])
             first = begin + max(0, d - e)
             piece = block.data[first : max(first, min(begin + int(block.lengths[t]), begin + d + 3 * e + int(self.n[i])))].tobytes()
-            at = piece.find(self.items[i].tobytes())
+            at = next(_places(piece, self.items[i].tobytes()), -1)
             if at >= 0:
                 at += first - begin
                 best[t, i] = min(best.get((t, i), (1 << 60, 0, 0)), (0, at, at + int(self.n[i])))
@@ -179,14 +203,15 @@ class Words:
     """Items that are too short for q-grams: found exact, as whole words."""
 
     def __init__(self, ids: list, items: list[bytes]):
-        self.ids, self.items = ids, [_FOLD[np.frombuffer(x, np.uint8)] for x in items]
+        block = Characters(items)
+        self.ids, self.items = ids, [block.text(i) for i in range(len(items))]
 
-    def find(self, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
+    def find(self, block: Characters) -> Iterator[tuple[int, int, int, int, int]]:
         letter = np.isin(block.data, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)) | (block.data >= 128)
         whole = block.data.tobytes()
         for i, x in enumerate(self.items):
-            sought, at, done = x.tobytes(), -1, -1
-            while (at := whole.find(sought, at + 1)) >= 0:
+            done = -1
+            for at in _places(whole, x.tobytes()):
                 t = int(np.searchsorted(block.begins, at, "right")) - 1
                 if t != done and not (at and letter[at - 1] and letter[at]) and not (letter[at + len(x)] and letter[at + len(x) - 1]):
                     done = t
@@ -195,23 +220,15 @@ class Words:
 
 
 def indexes(ids: list, items: list[bytes], q: int, max_rate: float) -> list[Index | Words]:
-    """The items by the q they take; those under q bytes apart."""
+    """The items by the q they take; those under q characters apart."""
     groups: dict[int, list[int]] = {}
-    for k, x in enumerate(items):
-        if x:
-            groups.setdefault(0 if len(x) < q else min(q, len(x) // (int(len(x) * max_rate) + 1)), []).append(k)
+    for k, n in enumerate(Characters(items).lengths.tolist()):
+        if n:
+            groups.setdefault(0 if n < q else min(q, n // (int(n * max_rate) + 1)), []).append(k)
     chosen = lambda at: ([ids[k] for k in at], [items[k] for k in at])
     return [Index(*chosen(at), own, max_rate) if own else Words(*chosen(at)) for own, at in sorted(groups.items())]
 
 
-def folded(held: list[bytes]) -> Block:
-    """The texts side by side as they are compared, apart by a byte that no item holds."""
-    block = Block(held, lower=False)
-    block.data = _FOLD[block.data]
-    block.data[block.begins[1:] - 1] = 10
-    return block
-
-
 def query_blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """The items with text, in blocks of bounded size, one at a time."""
     ids, items, size = [], [], 0
@@ -228,7 +245,7 @@ def query_blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int = B
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", q: int = Q, max_rate: float = MAX_RATE) -> DataFrame:
-    """key, item_id, begin, end (bytes of the text), edits, item_length: the best place of each item in each text that holds it."""
+    """key, item_id, begin, end (characters of the text), edits, item_length: the best place of each item in each text that holds it."""
     source = docs.select(F.col(key), F.col(text).cast("string"))
     kinds = source.schema[0].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, begin long, end long, edits long, item_length long"
@@ -241,7 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             kind = pa.array(shared.value[0]).type
             for batch in batches:
                 for at, held in texts(batch.column(1)):
-                    block = folded(held)
+                    block = Characters(held)
                     for index in every:
                         if found := list(index.find(block)):
                             t, i, begin, end, edits = zip(*found)
