@@ -93,7 +93,9 @@ def cut_groups(members: DataFrame, left: int) -> DataFrame:
     h = left // 2
     parts = stored(members.select("grp", "fp", _halves(left)))
     same = parts.select(F.xxhash64("grp", "side", "seg").alias("grp"), "rest", "fp")
-    segments = parts.select("grp", "side", "seg").distinct()
+    # a row becomes as many as a segment has bits: dealt out before, as adaptive execution would put the small rows into a few tasks
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = parts.select("grp", "side", "seg").distinct().repartition(tasks)
     bits = F.array(*[F.struct(F.lit(i).alias("wild"), F.col("seg").bitwiseAND(F.lit(~(1 << i))).alias("others")) for i in range(h)])
     variants = segments.select("grp", "side", F.inline(bits)).groupBy("grp", "side", "wild", "others").agg(F.count("*").alias("n")).where("n = 2")
     two = F.array(F.col("others"), F.col("others").bitwiseOR(F.expr("shiftleft(1L, wild)")))
