@@ -220,3 +220,26 @@ def extended(matches: DataFrame) -> DataFrame:
         view = with_experience(view, name)
     view = with_chosen_profiles(with_minutes(with_hand_balance(view)))
     return with_seed_context(with_endurance(with_path(with_rest(view))))
+
+
+_FIRST_FORMS = ("best_of5_form", "best_of5_experience", "late_round_form", "late_round_experience", "vs_hand_form", "qf_form", "qf_experience", "qf_surface_form", "vs_hand_surface_form", "vs_hand_balance")
+#: Features that each variant adds to the baseline: (of the match, of each player, with their difference): 33, 39 and 60 columns.
+VARIANTS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "sliceaware": (("is_bo5", "is_qf", "one_lefty"), _FIRST_FORMS),
+    "bestof5": (
+        ("is_bo5", "level_strength", "bo5_pressure"),
+        ("best_of5_form", "best_of5_surface_form", "best_of5_top30_form", "best_of5_experience", "best_of5_avg_minutes", "long_match_form", "long_match_experience", "best_of5_serve_score", "best_of5_serve_return", "best_of5_serve_stability", "bo5_pressure_score", "endurance"),
+    ),
+    "qfserve": (
+        ("is_bo5", "is_qf", "one_lefty", "level_strength", "qf_pressure", "bo5_pressure"),
+        (*_FIRST_FORMS, "seed_context", "path_strength", "path_matches", "surface_serve_score", "top_opp_serve_score", "vs_hand_serve_return", "surface_serve_stability", "pressure_serve_score"),
+    ),
+}
+
+
+def with_variants(view: DataFrame) -> DataFrame:
+    """extended() with the flags of the match, and the pressure score that knows best-of-five alone."""
+    bo5, qf = (F.col("best_of") == 5).cast("int"), (F.col("round") == "QF").cast("int")
+    one = ((F.col("hand") == "L") != (F.col("opp_hand") == "L")).cast("int")
+    score = F.when(F.col("best_of") == 5, F.col("best_of5_serve_score")).otherwise(F.expr(serve_score_sql("avg_")))
+    return view.withColumns({"is_bo5": bo5, "is_qf": qf, "one_lefty": one, "bo5_pressure": F.col("level_strength") * bo5, "qf_pressure": F.col("level_strength") * qf, "bo5_pressure_score": score})

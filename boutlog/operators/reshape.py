@@ -110,10 +110,10 @@ def lefty_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"one_lefty": one.cast("int"), "is_bo5": (F.col("best_of") == 5).cast("int"), "is_qf": (F.col("round") == "QF").cast("int"), "pressure": strength * (F.col("best_of") == 5).cast("int")})
 
 
-def sample(features: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """The two-perspective sample of a feature view: baseline features, and ``extra`` columns with their differences."""
+def sample(features: DataFrame, extra: Sequence[str] = (), flags: Sequence[str] = ()) -> DataFrame:
+    """The two-perspective sample of a feature view: baseline features, ``extra`` columns with their differences, and ``flags``, which are the match's."""
     view = encode(features).withColumns({"rank_log": F.ln("rank"), "points_log": F.ln("points"), "is_lefty": F.coalesce((F.col("hand") == "L").cast("int"), F.lit(0))})
     shares = [f"avg_{s}" for s in SHARES]
-    carry = ["season", "tourney_date", "surface_code", "level_code", "best_of", "round_code"]
+    carry = ["season", "tourney_date", "surface_code", "level_code", "best_of", "round_code", *flags]
     wide = both_sides(view, ["player", "h2h", *SMALL, *shares, *extra], carry).withColumn("h2h", F.col("w_h2h"))
     return symmetrize(wide, ["player", *SMALL, *shares, *extra], ["rank_log", "points_log", "age", "ht", "form", *extra], ["h2h"], carry)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from boutlog.functions.columns import tourney_base
 
@@ -42,3 +42,31 @@ def with_pace(matches: DataFrame, history: DataFrame, support: int = SUPPORT) ->
     out = out.join(F.broadcast(tourneys) if small else tourneys, ["base", "surface"], "left").join(surfaces, "surface", "left")
     out = out.crossJoin(F.broadcast(pace_scale(history, support)))
     return out.withColumn("court_pace", (F.coalesce("_t", "_s", "mean") - F.col("mean")) / F.col("std")).drop("base", "_t", "_s", "mean", "std")
+
+
+def pace_before(matches: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """season, base, surface, court_pace: the pace index of each venue from the seasons before, for every season that the log has.
+
+    One aggregate of the log, by venue and season; what follows are running sums over that small table. A venue without enough
+    earlier matches has its surface's pace, else the mean (0); in the first season there is no pace at all (null).
+    """
+    sums = matches.withColumn("base", tourney_base(F.col("tourney_id"))).where("base IS NOT NULL AND surface IS NOT NULL")
+    played = F.col("w_svpt") + F.col("l_svpt") > 0
+    sums = sums.groupBy("base", "surface", "season").agg(F.sum(F.when(played, F.col("w_ace") + F.col("l_ace"))).alias("ace"), F.sum(F.when(played, F.col("w_svpt") + F.col("l_svpt"))).alias("svpt"), F.count_if(played).alias("n"))
+    seasons = sums.agg(F.sort_array(F.collect_set("season")).alias("all")).select(F.explode("all").alias("season"))  # a row per season
+    every = sums.select("base", "surface").distinct().crossJoin(F.broadcast(seasons))
+    held = every.join(sums, ["base", "surface", "season"], "left")
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
+    venues = held.select("base", "surface", "season", *[F.coalesce(F.sum(c).over(so_far("base", "surface")), F.lit(0)).alias(c) for c in ("ace", "svpt", "n")])
+    surfaces = venues.groupBy("surface", "season").agg(F.try_divide(F.sum("ace"), F.sum("svpt")).alias("_s"))
+    supported = F.when((F.col("n") >= support) & (F.col("svpt") > 0), F.col("ace") / F.col("svpt"))
+    std = F.stddev_samp(supported)
+    scale = venues.groupBy("season").agg(F.try_divide(F.sum("ace"), F.sum("svpt")).alias("mean"), F.when(std > 0, std).otherwise(STD_DEFAULT).alias("std"))
+    paced = venues.withColumn("_t", supported).join(surfaces, ["surface", "season"]).join(scale, "season")
+    return paced.select("season", "base", "surface", ((F.coalesce("_t", "_s", "mean") - F.col("mean")) / F.col("std")).alias("court_pace"))
+
+
+def with_pace_before(matches: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """matches with court_pace from earlier seasons only; 0 where there is none."""
+    keyed = matches.withColumn("base", tourney_base(F.col("tourney_id")))
+    return keyed.join(pace_before(matches, support), ["season", "base", "surface"], "left").withColumn("court_pace", F.coalesce("court_pace", F.lit(0.0))).drop("base")

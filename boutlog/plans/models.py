@@ -6,6 +6,8 @@ import itertools
 import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -13,22 +15,27 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from boutlog.functions.columns import SHARES
 from boutlog.operators import evaluation, reshape
 from boutlog.session import discard, stored
 
-FEATURES = ("surface_code", "level_code", "best_of", "round_code", "p1_rank_log", "p2_rank_log", "p1_form", "p2_form", "p1_surface_form", "p2_surface_form", "p1_h2h", "rank_log_diff", "points_log_diff", "age_diff", "ht_diff", "form_diff", "p1_avg_first_won_pct", "p2_avg_first_won_pct", "p1_avg_return_pts_won", "p2_avg_return_pts_won")
+_BOTH = lambda *names: tuple(f"p{i}_{n}" for n in names for i in (1, 2))
+#: The baseline's features, and the smaller set of its first version.
+FEATURES = ("surface_code", "level_code", "best_of", "round_code", *_BOTH("rank_log", "points_log", "age", "ht", "is_lefty"), "p1_h2h", *_BOTH("form", "surface_form", *[f"avg_{s}" for s in SHARES]), "rank_log_diff", "points_log_diff", "age_diff", "ht_diff", "form_diff")
+FEATURES_17 = ("surface_code", "level_code", *_BOTH("rank_log", "age", "ht"), "p1_h2h", *_BOTH("form", "surface_form"), "rank_log_diff", "age_diff", "ht_diff", "form_diff")
+CATEGORICAL = ("surface_code", "level_code", "round_code")
 
 
 def forest(trees: int = 20, depth: int = 6, seed: int = 42, **more: object) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, **more)
+    return RandomForestClassifier(featuresCol="_x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, **more)
 
 
 def boosting(rounds: int = 10, depth: int = 4, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, seed=seed)
+    return GBTClassifier(featuresCol="_x", labelCol="y", maxIter=rounds, maxDepth=depth, seed=seed)
 
 
 def logistic() -> LogisticRegression:
-    return LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=50)
+    return LogisticRegression(featuresCol="_scaled", labelCol="y", maxIter=50)
 
 
 def fit(train: DataFrame, classifier, features: Sequence[str] = FEATURES, categorical: Sequence[str] = (), categories: int = 32) -> PipelineModel:
@@ -39,16 +46,16 @@ def fit(train: DataFrame, classifier, features: Sequence[str] = FEATURES, catego
     plain = [f for f in features if f not in categorical]
     steps = []
     if categorical:
-        steps = [VectorAssembler(inputCols=list(categorical), outputCol="codes", handleInvalid="error"), VectorIndexer(inputCol="codes", outputCol="sets", maxCategories=categories, handleInvalid="keep")]
-    steps.append(VectorAssembler(inputCols=[*plain, *(["sets"] if categorical else [])], outputCol="x", handleInvalid="error"))
-    if classifier.getFeaturesCol() == "scaled":
-        steps.append(StandardScaler(inputCol="x", outputCol="scaled", withMean=True))
+        steps = [VectorAssembler(inputCols=list(categorical), outputCol="_codes", handleInvalid="error"), VectorIndexer(inputCol="_codes", outputCol="_sets", maxCategories=categories, handleInvalid="keep")]
+    steps.append(VectorAssembler(inputCols=[*plain, *(["_sets"] if categorical else [])], outputCol="_x", handleInvalid="error"))
+    if classifier.getFeaturesCol() == "_scaled":
+        steps.append(StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True))
     return Pipeline(stages=[*steps, classifier]).fit(train)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """rows with p."""
-    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("x", "codes", "sets", "scaled", "rawPrediction", "probability", "prediction")
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("_x", "_codes", "_sets", "_scaled", "rawPrediction", "probability", "prediction")
 
 
 def sigmoid(validation: DataFrame, score: str = "p") -> PipelineModel:
@@ -60,8 +67,8 @@ def sigmoid(validation: DataFrame, score: str = "p") -> PipelineModel:
     target = F.when(F.col("y") == 1, F.lit((n["n1"] + 1) / (n["n1"] + 2))).otherwise(F.lit(1 / (n["n0"] + 2)))
     row = lambda y, w: F.struct(F.lit(y).alias("y"), w.alias("weight"))
     twins = validation.select(score, target.alias("_t")).select(score, F.inline(F.array(row(1.0, F.col("_t")), row(0.0, 1 - F.col("_t")))))
-    curve = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=200, tol=1e-12, regParam=0.0)
-    return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="x"), curve]).fit(twins)
+    curve = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="weight", maxIter=200, tol=1e-12, regParam=0.0)
+    return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="_x"), curve]).fit(twins)
 
 
 def platt(model: PipelineModel, validation: DataFrame, rows: DataFrame) -> DataFrame:
@@ -96,13 +103,16 @@ def mean_rank(tables: Sequence[DataFrame]) -> DataFrame:
     return out.groupBy("feature").agg(F.avg("rank").alias("mean_rank"), F.avg("importance").alias("mean_importance"))
 
 
-def seed_sweep(spark, train: DataFrame, test: DataFrame, seeds: Sequence[int], features: Sequence[str] = FEATURES) -> DataFrame:
+def seed_sweep(spark, train: DataFrame, test: DataFrame, seeds: Sequence[int], features: Sequence[str] = FEATURES, at_once: int = 8) -> DataFrame:
     """seed, accuracy (match level), brier, log_loss of each seed."""
-    rows = []
-    for s in seeds:
-        scored = predict(fit(train, forest(seed=s), features), test)
+
+    def run(seed: int) -> tuple:
+        scored = predict(fit(train, forest(seed=seed), features), test)
         loss = evaluation.losses(scored).first()
-        rows.append((s, evaluation.match_evaluation(scored).agg(F.avg("correct")).first()[0], loss["brier"], loss["log_loss"]))
+        return (seed, evaluation.match_evaluation(scored).agg(F.avg("correct")).first()[0], loss["brier"], loss["log_loss"])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(run, seeds))
     return spark.createDataFrame(rows, "seed int, accuracy double, brier double, log_loss double")
 
 
@@ -121,14 +131,25 @@ def season_folds(sample: DataFrame, seasons: Sequence[int]) -> list[tuple[int, D
     return [(s, sample.where(F.col("season") < s), sample.where(F.col("season") == s)) for s in seasons]
 
 
-def walk_forward(sample: DataFrame, seasons: Sequence[int], variants: dict[str, tuple[Sequence[str], object]]) -> DataFrame:
-    """match_num, season, variant, prob, correct; variants: name -> (features, classifier)."""
-    out = None
-    for s, train, test in season_folds(sample, seasons):
-        for name, (features, classifier) in variants.items():
-            done = evaluation.match_evaluation(predict(fit(train, classifier, features), test)).select("match_num", F.lit(s).alias("season"), F.lit(name).alias("variant"), "prob", "correct")
-            out = done if out is None else out.unionByName(done)
-    return out
+@dataclass(frozen=True)
+class Variant:
+    """A feature set with a classifier; ``categorical`` features are split as sets."""
+
+    features: Sequence[str]
+    classifier: object
+    categorical: Sequence[str] = ()
+
+
+def walk_forward(sample: DataFrame, seasons: Sequence[int], variants: dict[str, Variant], at_once: int = 8) -> DataFrame:
+    """match_num, season, variant, prob, correct; fits run ``at_once`` at a time. Seasons without earlier rows are left out."""
+
+    def run(job: tuple) -> DataFrame:
+        (s, train, test), (name, v) = job
+        scored = predict(fit(train, v.classifier, v.features, v.categorical), test)
+        return evaluation.match_evaluation(scored).select("match_num", F.lit(s).cast("long").alias("season"), F.lit(name).alias("variant"), "prob", "correct")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, itertools.product(season_folds(sample, seasons), variants.items())))
 
 
 def outcomes(walked: DataFrame, base: str, other: str) -> DataFrame:
@@ -145,7 +166,7 @@ def metrics_of(scored: DataFrame) -> dict:
     return {**one.first().asDict(), "auc": evaluation.auc(scored).first()["auc"]}
 
 
-def read_out(sample: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 5, at_once: int = 4) -> DataFrame:
+def read_out(sample: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 5, at_once: int = 8) -> DataFrame:
     """setting, fold, n, accuracy, brier, log_loss, auc of every classifier over expanding folds; a row per classifier and fold.
 
     The sample is tagged with its folds and stored once; fits on it run ``at_once`` at a time, as each is too small to keep a
@@ -185,11 +206,11 @@ def drawn(n: int = 50, seed: int = 42, space: Mapping[str, Sequence] = SPACE) ->
     out = {}
     for values in rnd.sample(every, min(n, len(every))):
         settings = dict(zip(space, values))
-        out["-".join(map(str, values))] = RandomForestClassifier(featuresCol="x", labelCol="y", seed=seed, **settings)
+        out["-".join(map(str, values))] = RandomForestClassifier(featuresCol="_x", labelCol="y", seed=seed, **settings)
     return out
 
 
-def search(sample: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 5, at_once: int = 4, save_to: str | None = None) -> tuple[DataFrame, str, PipelineModel]:
+def search(sample: DataFrame, classifiers: dict[str, object], features: Sequence[str] = FEATURES, folds: int = 5, at_once: int = 8, save_to: str | None = None) -> tuple[DataFrame, str, PipelineModel]:
     """The table of read_out, the name of the chosen classifier, and it fitted again on the whole sample (and saved)."""
     table = read_out(sample, classifiers, features, folds, at_once)
     name = chosen(table).where("chosen").first()["setting"]

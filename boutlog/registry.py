@@ -419,6 +419,73 @@ register("symmetrized_17", _small, _sym_sql(_s17, ["rank_log", "form"], ["a.best
 EXTRA = [*history.FORMS, *history.EXPERIENCES, "vs_hand_balance", "avg_minutes", "best_of5_avg_minutes", *[f"{p}_{k}" for p in ("best_of5_serve", "surface_serve", "vs_hand_serve", "top_opp_serve", "pressure_serve") for k in history.PROFILE], "endurance", "seed_context", "path_strength", "path_matches", "rest_days", "tourney_minutes"]
 register("variant_features", lambda m: reshape.sample(history.extended(m), EXTRA))
 
+# --- the three variants' features, each with SQL for its own list
+
+_FORM_NAMES = sorted({n for _, names in history.VARIANTS.values() for n in names if n in history.FORMS} | {"long_match_form", "best_of5_form"})
+_profile = lambda p, k: f"{p}.{p}_{k}"
+_minutes = "CASE WHEN ym.n >= 2 THEN ym.v WHEN xm.n >= 3 THEN xm.v ELSE 110 END"
+_exp = {n: f"least(coalesce(x_{n}.n, 0) / {s}::DOUBLE, 1)" for n, (_, s) in history.EXPERIENCES.items()}
+#: Feature -> its SQL over c (the player view) and the joined CTEs.
+_VARIANT_SQL: dict[str, str] = {
+    **{n: f"{n}.{n}" for n in _FORM_NAMES},
+    **_exp,
+    "vs_hand_balance": "CASE WHEN xb.n >= 3 THEN xb.v ELSE 0 END",
+    "best_of5_avg_minutes": _minutes,
+    **{f"best_of5_serve_{k}": _profile("best_of5_serve", k) for k in history.PROFILE},
+    "bo5_pressure_score": f"CASE WHEN c.best_of = 5 THEN {_profile('best_of5_serve', 'score')} ELSE own.own_score END",
+    "endurance": f"0.25 * best_of5_form.best_of5_form + 0.20 * long_match_form.long_match_form + 0.15 * {_exp['best_of5_experience']} + 0.10 * {_exp['long_match_experience']} + 0.15 * greatest(0, least(1, ({_minutes} - 90) / 120)) + 0.15 * {_profile('best_of5_serve', 'stability')}",
+    "seed_context": f"CASE WHEN c.seed IS NOT NULL THEN greatest(0, 1 - (c.seed - 1) / {_slots.replace('draw_size', 'c.draw_size')}) ELSE greatest(0, least(1, ({_slots.replace('draw_size', 'c.draw_size')} + 2 - c.rank) / ({_slots.replace('draw_size', 'c.draw_size')} + 2))) END",
+    "path_strength": "pa.path_strength",
+    "path_matches": "pa.path_matches",
+    "surface_serve_score": _profile("surface_serve", "score"),
+    "surface_serve_stability": _profile("surface_serve", "stability"),
+    "top_opp_serve_score": f"CASE WHEN c.level IN ('G', 'M') THEN {_profile('top20_serve', 'score')} WHEN c.level IN ('500', 'A', 'F') THEN {_profile('top30_serve', 'score')} ELSE {_profile('top40_serve', 'score')} END",
+    "vs_hand_serve_return": _profile("vs_hand_serve", "return"),
+    "pressure_serve_score": f"CASE WHEN c.best_of = 5 THEN {_profile('best_of5_serve', 'score')} WHEN c.round IN ('QF', 'SF', 'BR', 'F') THEN {_profile('late_serve', 'score')} ELSE own.own_score END",
+}
+_strength = case("c.level", LEVEL_STRENGTH, 0.6)
+_FLAG_SQL = {"is_bo5": "CAST(c.best_of = 5 AS INT)", "is_qf": "CAST(c.round = 'QF' AS INT)", "one_lefty": "CAST((c.hand = 'L') <> (c.opp_hand = 'L') AS INT)", "level_strength": f"{_strength}::DOUBLE", "bo5_pressure": f"({_strength} * CAST(c.best_of = 5 AS INT))::DOUBLE", "qf_pressure": f"({_strength} * CAST(c.round = 'QF' AS INT))::DOUBLE"}
+_PATH = f"pa AS (SELECT c.match_num, c.side, coalesce(avg(CASE WHEN p.player IS NOT NULL THEN ln(1 + greatest(p.opp_points, 1)) END), 0) AS path_strength, count(p.player)::DOUBLE AS path_matches {_same})"
+
+
+def _variant_oracle(flags: Sequence[str], names: Sequence[str]) -> tuple[str, list[str]]:
+    """SQL and its CTEs for a variant's flags and features; only the CTEs that they read."""
+    text = " ".join(_VARIANT_SQL[n] for n in names)
+    reads = lambda x: f"{x}." in text
+    ctes = [PV, FORM, SURFACE_FORM, SERVE, OWN]
+    joined = []
+    for n in _FORM_NAMES:
+        if reads(n):
+            ctes += _form_ctes(n)
+            joined.append(n)
+    for n, (c, _) in history.EXPERIENCES.items():
+        if reads(f"x_{n}"):
+            ctes.append(context(f"x_{n}", c, "count(*) AS n"))
+            joined.append(f"x_{n}")
+    for p in history.PROFILES:
+        if reads(p):
+            ctes += _profile_ctes(p)
+            joined.append(p)
+    more = {"xb": context("xb", history.Context("true", ("opp_hand",), 20), "count(*) AS n, avg(is_win * 2 - 1) AS v"), "xm": context("xm", history.Context("true", (), 12), "count(minutes) AS n, avg(minutes) AS v"), "ym": context("ym", history.Context("best_of = 5", (), 8), "count(minutes) AS n, avg(minutes) AS v"), "pa": _PATH, "own": None}
+    for x, cte in more.items():
+        if reads(x):
+            ctes += [cte] if cte else []
+            joined.append(x)
+    ctes.append(f"vf AS (SELECT c.match_num, c.side, {', '.join(f'{_FLAG_SQL[f]} AS {f}' for f in flags)}, {', '.join(f'{_VARIANT_SQL[n]} AS {n}' for n in names)} FROM {join(*joined)})")
+    parts = [f"{half_up_sql(f'a.{f}')} AS {f}" if "strength" in f or "pressure" in f else f"a.{f}" for f in flags]
+    parts += [f"{half_up_sql(e)} AS {a}{n}{d}" for n in names for a, e, d in (("p1_", f"a.{n}", ""), ("p2_", f"b.{n}", ""), ("", f"a.{n} - b.{n}", "_diff"))]
+    return f"SELECT a.match_num, CAST(a.side = 'w' AS INT) AS y, {', '.join(parts)} FROM vf a JOIN vf b ON a.match_num = b.match_num AND a.side <> b.side", list(dict.fromkeys(ctes))
+
+
+def _variant_query(flags: Sequence[str], names: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    wanted = [c for n in names for c in (f"p1_{n}", f"p2_{n}", f"{n}_diff")]
+    return lambda m: half_up(reshape.sample(history.with_variants(history.extended(m)), names, flags).select("match_num", "y", *flags, *wanted))
+
+
+for _name, (_flags, _names) in history.VARIANTS.items():
+    _sql, _ctes = _variant_oracle(_flags, _names)
+    register(f"variant_{_name}", _variant_query(_flags, _names), _sql, *_ctes)
+
 # --- market
 
 _ODDS = """o AS (SELECT *, CASE WHEN odds_avg_w IS NOT NULL AND odds_avg_l IS NOT NULL THEN odds_avg_w WHEN odds_b365_w IS NOT NULL AND odds_b365_l IS NOT NULL THEN odds_b365_w END AS odds_w,
