@@ -1,20 +1,22 @@
-"""Invariants that are checked while rows pass: no job of their own, no second pass.
+"""Invariants that are checked while rows are stored.
 
-A check's figures are metrics observed on the rows that an action reads anyway (a count of violations, and up to five values
-that violate it); when the action is done, a violation raises with them.
+A row that violates a check ends the job that reads it; rows that pass cost one expression each, no job and no second pass. Only
+after a violation are the rows looked at again, for a report with the first violating values. (Observed metrics would give the
+report in the same pass, but a session that has used one can no longer send fitted models to its tasks.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from boutlog.session import stored
 
-Out = TypeVar("Out")
 EXAMPLES = 5
 TOURNEY_ID = r"^\d{4}-.+"
+_MARK = "violated check: "
 
 
 class Violation(ValueError):
@@ -29,17 +31,9 @@ class Check:
     bad: Column
     value: Column
 
-    def metrics(self) -> list[Column]:
-        bad, text = F.coalesce(self.bad, F.lit(False)), self.value.cast("string")
-        # the least value of each of five hash classes: bounded state, whatever the number of violations
-        some = [F.min(F.when(bad & (F.pmod(F.xxhash64(text), F.lit(EXAMPLES)) == i), text)).alias(f"{self.name}_{i}") for i in range(EXAMPLES)]
-        return [F.count_if(bad).alias(f"{self.name}_n"), *some]
-
-    def verdict(self, found: dict) -> str | None:
-        if not found[f"{self.name}_n"]:
-            return None
-        values = sorted(v for i in range(EXAMPLES) if (v := found[f"{self.name}_{i}"]) is not None)
-        return f"{self.name}: {found[f'{self.name}_n']} rows, such as {values}"
+    def guard(self) -> Column:
+        """True; a row with ``bad`` raises."""
+        return F.when(self.bad, F.raise_error(F.concat(F.lit(f"{_MARK}{self.name}, "), F.coalesce(self.value.cast("string"), F.lit("null")))).cast("boolean")).otherwise(True)
 
 
 @dataclass(frozen=True)
@@ -51,11 +45,7 @@ class MeanCheck:
     reported: float | None
     tolerance: float = 1e-8
 
-    def metrics(self) -> list[Column]:
-        return [F.avg(self.column).alias(f"{self.name}_mean")]
-
-    def verdict(self, found: dict) -> str | None:
-        mean = found[f"{self.name}_mean"]
+    def verdict(self, mean: float | None) -> str | None:
         if mean == self.reported or (mean is not None and self.reported is not None and abs(mean - self.reported) <= self.tolerance):
             return None
         return f"{self.name}: mean of {self.column} is {mean}, {self.reported} was reported"
@@ -63,19 +53,28 @@ class MeanCheck:
 
 def format_check(column: str, pattern: str = TOURNEY_ID) -> Check:
     """Values that are there must match the pattern."""
-    return Check(f"format_of_{column}", ~F.col(column).rlike(pattern), F.col(column))
-
-
-def checked(df: DataFrame, checks: Sequence[Check | MeanCheck], action: Callable[[DataFrame], Out]) -> Out:
-    """What the action makes of df (say, stored rows); raises Violation if a check fails on the rows that it read."""
-    seen = Observation()
-    out = action(df.observe(seen, *[m for c in checks for m in c.metrics()]))
-    found = seen.get
-    if failed := [v for c in checks if (v := c.verdict(found))]:
-        raise Violation("; ".join(failed))
-    return out
+    return Check(f"format of {column}", ~F.col(column).rlike(pattern), F.col(column))
 
 
 def violations(df: DataFrame, check: Check, most: int = EXAMPLES) -> DataFrame:
     """value, n: the first violating values, in order, with their rows, as a report that raises nothing."""
     return df.where(check.bad).groupBy(check.value.cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy("value").limit(most)
+
+
+def checked(df: DataFrame, checks: Sequence[Check] = (), means: Sequence[MeanCheck] = ()) -> DataFrame:
+    """df, stored; raises Violation where a check fails, with up to five values, or where a mean of the stored rows is another."""
+    guarded = df
+    for c in checks:
+        guarded = guarded.where(c.guard())
+    try:
+        out = stored(guarded)
+    except Exception as e:
+        if _MARK not in str(e):
+            raise
+        failed = [f"{c.name}: {[r['value'] for r in found]}" for c in checks if (found := violations(df, c).collect())]
+        raise Violation("; ".join(failed)) from e
+    if means:
+        found = out.agg(*[F.avg(c.column).alias(c.name) for c in means]).first()
+        if failed := [v for c in means if (v := c.verdict(found[c.name]))]:
+            raise Violation("; ".join(failed))
+    return out

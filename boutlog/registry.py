@@ -162,7 +162,7 @@ register(
     lambda m: checks.violations(m.withColumn("tourney_id", F.when(F.col("match_num") % 50 == 0, F.replace("tourney_id", F.lit("-"), F.lit(""))).when(F.col("match_num") % 51 != 0, F.col("tourney_id"))), checks.format_check("tourney_id")),
     f"SELECT x AS value, count(*) AS n FROM (SELECT {_bad_id} AS x FROM matches) WHERE NOT regexp_matches(x, '^[0-9]{{4}}-.+') GROUP BY x ORDER BY x LIMIT 5",
 )
-register("checked_log", lambda m: checks.checked(m, [checks.format_check("tourney_id"), checks.Check("price_above_one", F.col("odds_avg_w") <= 1, F.col("match_num"))], stored).groupBy("season").agg(F.count("*").alias("n")), "SELECT season, count(*) AS n FROM matches GROUP BY season")
+register("checked_log", lambda m: checks.checked(m, [checks.format_check("tourney_id"), checks.Check("price above one", F.col("odds_avg_w") <= 1, F.col("match_num"))]).groupBy("season").agg(F.count("*").alias("n")), "SELECT season, count(*) AS n FROM matches GROUP BY season")
 
 # --- last-n windows
 
@@ -545,7 +545,7 @@ def checked_frame(m: DataFrame) -> DataFrame:
     evaluated = stored(evaluation.match_evaluation(fixed_score(m)))
     reported = evaluated.agg(F.avg("correct")).first()[0]
     frame = m.select("match_num", "surface", "level").join(evaluated, "match_num")
-    return checks.checked(frame, [checks.MeanCheck("match_accuracy", "correct", reported)], stored)
+    return checks.checked(frame, means=[checks.MeanCheck("match accuracy", "correct", reported)])
 
 
 def _slices_sql(name: str, ev: str) -> str:
