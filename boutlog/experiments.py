@@ -275,6 +275,14 @@ register(
 )
 
 
+register(
+    "search_days",
+    lambda m: resolution.search_days(m.withColumn("td_date", F.when(F.col("match_num") % 3 != 0, F.date_add("tourney_date", (F.col("match_num") % 9).cast("int"))))),
+    """SELECT match_num, tourney_date + CAST(match_num % 9 AS INT) + CAST(i AS INT) AS day, CAST(CASE i WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS INT) AS turn FROM matches, range(-1, 2) r(i) WHERE match_num % 3 <> 0
+    UNION ALL SELECT match_num, tourney_date + CAST(i AS INT), CAST(i AS INT) FROM matches, range(15) r(i) WHERE match_num % 3 = 0""",
+)
+
+
 def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of day pages made from the match log: the first link's target and both names."""
     m = named(registry.matches_of(spark, sf_dir))

@@ -81,6 +81,20 @@ register(
     _feed_sql,
 )
 
+
+def _recomputed(m: DataFrame) -> DataFrame:
+    """A feed that has its outside matches already: averages anew, and each outside match at its first row only."""
+    feed = priced(m).withColumn("be_match_id", F.when(F.col("match_num") % 4 != 0, F.concat(F.lit("b"), F.floor(F.col("match_num") / 5).cast("string"))))
+    return market_feed.with_averages(market_feed.one_use(feed)).select("match_key", "be_match_id", *_MEANS)
+
+
+register(
+    "recomputed_averages",
+    _recomputed,
+    f"SELECT match_key, CASE WHEN id IS NOT NULL AND row_number() OVER (PARTITION BY id ORDER BY tourney_date, match_num) = 1 THEN id END AS be_match_id, {', '.join(_r(e, n) for n, e in _MEANS.items())} FROM (SELECT *, CASE WHEN match_num % 4 <> 0 THEN 'b' || (match_num // 5) END AS id FROM fd)",
+    _feed_sql,
+)
+
 # --- an incremental table
 
 SLICES = 3

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boutlog.session import discard, stored
 
 WINDOW_DAYS = (-3, 27)
-#: Accented letters and their plain forms, one for one.
-ACCENTED, PLAIN = "áàâäãåāăąčćçďđéèêëěēėęğíìîïīįıłľñňńņóòôöõøōőřŕšśşșťţțúùûüůūűųýÿžźż", "aaaaaaaaacccddeeeeeeeegiiiiiiillnnnnoooooooorrssssttt" + "uuuuuuuuyyzzz"
+_LATIN = (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07))
+#: Letters that have no decomposition, folded to the plain letter they look like.
+STROKED = {"đ": "d", "ł": "l", "ø": "o", "ı": "i"}
+
+
+def _plain(c: int) -> str:
+    """The ASCII part of a character's compatibility decomposition, lower-cased."""
+    return unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode().lower()
+
+
+def _folding() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII with a plain form: those of one letter, over the basic plane, and Latin ones of several."""
+    one = {chr(c): p for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(p := _plain(c)) == 1} | STROKED
+    return one, {chr(c): p for c in _LATIN if len(p := _plain(c)) > 1}
+
+
+_ONE, _SEVERAL = _folding()
 
 
 def normalized(name: Column) -> Column:
-    """Lower case, plain letters, hyphens, apostrophes and dots as blanks, single blanks."""
-    low = F.translate(F.lower(name), ACCENTED + "-'.", PLAIN + "   ")
+    """Lower case, letters without their accents, hyphens, apostrophes and dots as blanks, single blanks; other characters go."""
+    low = F.lower(name)
+    for letter, plain in _SEVERAL.items():
+        low = F.replace(low, F.lit(letter), F.lit(plain))
+    low = F.translate(low, "".join(_ONE) + "-'.", "".join(_ONE.values()) + "   ")
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\x00-\x7f]", ""), r"\s+", " "))
 
 
@@ -39,8 +59,12 @@ def short_name_keys(name: Column) -> Column:
     return F.when((surname != "") & (initial != ""), F.transform(_glued(F.array(surname)), lambda s: F.concat(s, F.lit("|"), initial)))
 
 
-def _exploded(df: DataFrame, w: Column, l: Column) -> DataFrame:  # noqa: E741
-    return df.withColumn("_w", F.explode(w)).withColumn("_l", F.explode(l))
+def same_names(full: DataFrame, short: DataFrame, surnames_only: bool = False) -> DataFrame:
+    """full, short: the pairs of names (columns of that name) that share a key; each distinct name is taken apart once."""
+    bare = (lambda k: F.array_distinct(F.transform(k, lambda s: F.substring_index(s, "|", 1)))) if surnames_only else (lambda k: k)
+    a = full.distinct().select("full", F.explode(bare(full_name_keys(F.col("full")))).alias("_key"))
+    b = short.distinct().select("short", F.explode(bare(short_name_keys(F.col("short")))).alias("_key"))
+    return a.join(b, "_key").select("full", "short").distinct()
 
 
 def _month(day: Column) -> Column:
@@ -55,15 +79,19 @@ def candidates(matches: DataFrame, feed: DataFrame, days: tuple[int, int] = WIND
     """match_num, feed_id, agreement (ranks that agree, 0 to 2), day_gap of name matches within the window of days.
 
     matches: match_num, tourney_date, w_name, l_name, w_rank, l_rank. feed: feed_id, feed_date, w_short, l_short, w_rank, l_rank.
-    An equi-join on both players' keys and the month: a feed row stands in its own, a match in those its window reaches. Days are a
-    residual condition, so two players who meet for years do not pair all their matches with all their feed rows.
+    Names are resolved first, each distinct one once; then an equi-join on both players' names in the feed and the month: a feed row
+    stands in its own, a match in those its window reaches, so that no pair comes twice. Days are a residual condition, so two
+    players who meet for years do not pair all their matches with all their feed rows.
     """
-    bare = (lambda k: F.array_distinct(F.transform(k, lambda s: F.substring_index(s, "|", 1)))) if surnames_only else (lambda k: k)
-    a = _exploded(matches, bare(full_name_keys(F.col("w_name"))), bare(full_name_keys(F.col("l_name")))).withColumn("_m", F.explode(_months(F.col("tourney_date"), days))).select("match_num", "tourney_date", "_m", "_w", "_l", F.col("w_rank").alias("_wr"), F.col("l_rank").alias("_lr"))
-    b = _exploded(feed, bare(short_name_keys(F.col("w_short"))), bare(short_name_keys(F.col("l_short")))).select("feed_id", "feed_date", _month(F.col("feed_date")).alias("_m"), "_w", "_l", "w_rank", "l_rank")
+    names = lambda df, *cs: df.select(F.explode(F.array(*cs)).alias("name")).where("name IS NOT NULL")
+    same = same_names(names(matches, "w_name", "l_name").withColumnRenamed("name", "full"), names(feed, "w_short", "l_short").withColumnRenamed("name", "short"), surnames_only)
+    of = lambda x: same.select(F.col("full").alias(f"{x}_name"), F.col("short").alias(f"{x}_short"))
+    a = matches.join(of("w"), "w_name").join(of("l"), "l_name").withColumn("_m", F.explode(_months(F.col("tourney_date"), days)))
+    a = a.select("match_num", "tourney_date", "_m", "w_short", "l_short", F.col("w_rank").alias("_wr"), F.col("l_rank").alias("_lr"))
+    b = feed.select("feed_id", "feed_date", _month(F.col("feed_date")).alias("_m"), "w_short", "l_short", "w_rank", "l_rank")
     gap = F.datediff("feed_date", "tourney_date")
     agree = F.coalesce((F.col("w_rank") == F.col("_wr")).cast("int"), F.lit(0)) + F.coalesce((F.col("l_rank") == F.col("_lr")).cast("int"), F.lit(0))
-    return a.join(b, ["_w", "_l", "_m"]).where(gap.between(*days)).select("match_num", "feed_id", agree.alias("agreement"), gap.alias("day_gap")).distinct()
+    return a.join(b, ["w_short", "l_short", "_m"]).where(gap.between(*days)).select("match_num", "feed_id", agree.alias("agreement"), gap.alias("day_gap"))
 
 
 def best(pairs: DataFrame) -> DataFrame:
@@ -122,6 +150,13 @@ def candidate_days(matches: DataFrame, days: tuple[int, int] = (0, 3)) -> DataFr
     return matches.select("match_num", F.explode(F.sequence(F.date_add("tourney_date", days[0]), F.date_add("tourney_date", days[1]))).alias("day"))
 
 
+def search_days(matches: DataFrame, known: str = "td_date", around: int = 1, window: int = 14) -> DataFrame:
+    """match_num, day, turn: where a match's day is known, that day, the one before and the one after; else all days of the window from the tournament's first on."""
+    near = F.transform(F.sequence(F.lit(-around), F.lit(around)), lambda i: F.struct(F.date_add(F.col(known), i).alias("day"), F.when(i == 0, 0).otherwise(2 * F.abs(i) - F.when(i < 0, 1).otherwise(0)).alias("turn")))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(window)), lambda i: F.struct(F.date_add(F.col("tourney_date"), i).alias("day"), i.alias("turn")))
+    return matches.select("match_num", F.inline(F.when(F.col(known).isNotNull(), near).otherwise(wide)))
+
+
 def page_rows(html: Column) -> Column:
     """The table rows of a day's page as (href, team1, team2): the row's first link and the two names of its text, apart by a dash."""
     rows = F.regexp_extract_all(html, F.lit(r"(?s)<tr(.*?)</tr>"), F.lit(1))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from boutlog.functions.columns import tourney_base
+from boutlog.session import stored
 
 SUPPORT, STD_DEFAULT = 20, 0.02
-#: Lookup tables are broadcast up to this many rows; beyond, Spark chooses the join.
-BROADCAST_ROWS = 50_000
 
 
 def _played(matches: DataFrame) -> DataFrame:
@@ -34,13 +33,17 @@ def pace_scale(matches: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def with_pace(matches: DataFrame, history: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """matches with court_pace: (pace - mean) / std, by tournament, else surface, else 0."""
-    tourneys = pace_by_tourney(history, support).select("base", "surface", F.col("pace").alias("_t"))
-    surfaces = pace_by_surface(history).select("surface", F.col("pace").alias("_s"))
-    small = tourneys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = matches.withColumn("base", tourney_base(F.col("tourney_id")))
-    out = out.join(F.broadcast(tourneys) if small else tourneys, ["base", "surface"], "left").join(surfaces, "surface", "left")
-    out = out.crossJoin(F.broadcast(pace_scale(history, support)))
+    """matches with court_pace: (pace - mean) / std, by tournament, else surface, else 0.
+
+    The history is read once, for the sums of each venue and surface; tournaments', surfaces' and the scale's figures are sums of those.
+    """
+    sums = stored(_played(history).groupBy("base", "surface").agg(F.sum("ace").alias("ace"), F.sum("svpt").alias("svpt"), F.count("*").alias("n")))
+    tourneys = sums.where((F.col("n") >= support) & F.col("base").isNotNull() & F.col("surface").isNotNull()).select("base", "surface", (F.col("ace") / F.col("svpt")).alias("_t"))
+    surfaces = sums.where("surface IS NOT NULL").groupBy("surface").agg((F.sum("ace") / F.sum("svpt")).alias("_s"))
+    std = F.stddev_samp("_t")
+    scale = sums.agg((F.sum("ace") / F.sum("svpt")).alias("mean")).crossJoin(F.broadcast(tourneys.agg(F.when(std > 0, std).otherwise(STD_DEFAULT).alias("std"))))
+    # a stored table's size is known, so Spark broadcasts it under its own threshold and else shuffles
+    out = matches.withColumn("base", tourney_base(F.col("tourney_id"))).join(tourneys, ["base", "surface"], "left").join(surfaces, "surface", "left").crossJoin(F.broadcast(scale))
     return out.withColumn("court_pace", (F.coalesce("_t", "_s", "mean") - F.col("mean")) / F.col("std")).drop("base", "_t", "_s", "mean", "std")
 
 

@@ -535,9 +535,12 @@ register("ece", lambda m: evaluation.ece(fixed_score(m)), "SELECT round(sum(n *
 
 
 def sliced(m: DataFrame, points: float = 0.3, lead: float = 0.1) -> DataFrame:
-    view = history.with_form(history.player_view(m))
-    wide = reshape.both_sides(view, ["hand", "rank", "age", "form"], ["surface", "level", "best_of", "round"])
-    return evaluation.slices(evaluation.slice_frame(wide.join(evaluation.match_evaluation(fixed_score(m, points, lead)), "match_num")))
+    """Slices of fixed_score: a player's row has what its score needs, so the match's rows meet once, with attributes and scores."""
+    z = -0.6 * (F.ln("rank") - F.ln("opp_rank")) + points * (F.ln("points") - F.ln("opp_points")) + lead
+    view = history.with_form(history.player_view(m)).withColumn("p", F.round(1 / (1 + F.exp(-z)), 12))
+    wide = reshape.both_sides(view, ["hand", "rank", "age", "form", "p"], ["surface", "level", "best_of", "round"])
+    prob = F.round((F.col("w_p") + (1 - F.col("l_p"))) / 2, 12)
+    return evaluation.slices(evaluation.slice_frame(wide.withColumn("prob", prob).withColumn("correct", (F.col("prob") > 0.5).cast("int"))))
 
 
 def checked_frame(m: DataFrame) -> DataFrame:

@@ -90,3 +90,24 @@ def test_fixed_parameters():
     assert {n: v[2] for n, v in plain.items()} == {"best_of5_form": 8, "late_round_form": 8, "vs_hand_form": 12, "qf_form": 6, "qf_surface_form": 4, "vs_hand_surface_form": 8, "best_of5_surface_form": 6, "best_of5_top30_form": 6, "long_match_form": 10}
     assert {n: v[3] for n, v in plain.items()} == {"best_of5_form": 2, "late_round_form": 2, "vs_hand_form": 3, "qf_form": 1, "qf_surface_form": 1, "vs_hand_surface_form": 2, "best_of5_surface_form": 1, "best_of5_top30_form": 1, "long_match_form": 2}
     assert columns.SURFACE_CODES == {"Carpet": 0, "Clay": 1, "Grass": 2, "Hard": 3} and resolution.WINDOW_DAYS == (-3, 27) and odds.SOURCES == ("odds_avg", "odds_b365")
+
+
+def test_names_fold_as_decompositions(spark):
+    import unicodedata
+
+    names = ["Élodie Nováková", "Ạnh Đỗ", "ﬁnn Ĳsbrand", "Ｍａｒｉａ ÅÅ", "Søren Łukasz", "O’Neil-D'Arcy St. X", "Žofie Ǆur", "   ", "Ḱåŕḻ  ẞ", "中村 Naomi"]
+    extra = str.maketrans(resolution.STROKED)
+
+    def fold(name):
+        plain = unicodedata.normalize("NFKD", name.lower().translate(extra)).encode("ascii", "ignore").decode().lower()
+        return " ".join(plain.replace("-", " ").replace("'", " ").replace(".", " ").split())
+
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(resolution.normalized(F.col("n"))).collect()]
+    assert got == [fold(n) for n in names] and got[0] == "elodie novakova" and got[2] == "finn ijsbrand"
+
+
+def test_days_to_search(spark):
+    day = dt.date(2001, 1, 10)
+    m = spark.createDataFrame([(1, day, dt.date(2001, 1, 12)), (2, day, None)], "match_num long, tourney_date date, td_date date")
+    got = resolution.search_days(m).orderBy("match_num", "turn").collect()
+    assert [r.day.day for r in got if r.match_num == 1] == [12, 11, 13] and [r.day.day for r in got if r.match_num == 2] == list(range(10, 25))
