@@ -173,14 +173,42 @@ def test_sharding_is_even_and_local(spark):
 def test_quality_model(spark, docs):
     good = [(i, ". ".join(prose(9).capitalize() for _ in range(12)) + ".", 1) for i in range(200)]
     web = [(1000 + i, ("BUY NOW!!! " + prose(3) + " $$$ ||| ") * 12 if i % 2 else ". ".join(prose(9).capitalize() for _ in range(12)) + ".", 0) for i in range(300)]
-    rows = spark.createDataFrame([x[:2] for x in good + web], "doc_id long, text string")
+    rows = cut(quality_model.measured(spark.createDataFrame([x[:2] for x in good + web], "doc_id long, text string").repartition(3), "doc_id", "text"))
     model = quality_model.fit_positives(rows, spark.createDataFrame([(i, 1) for i, _, _ in good], "doc_id long, quality int"))
     s = model.score(quality_model.measures([x[1].encode() for x in web]))
     assert s[::2].mean() > s[1::2].mean() + 0.3
-    got = quality_model.score(docs.select("doc_id", "text", F.lit(2).alias("score")), model).collect()
+    assert 0.35 < model.prior < 0.65  # half of the unlabelled rows are good
+    got = quality_model.score(quality_model.measured(docs, "doc_id", "text"), model).collect()
     assert len(got) == len(TEXTS) + 1 and all(0 <= r.score <= 1 for r in got)
 
 
+@pytest.mark.parametrize("prior", [None, 0.3, 0.9])
+def test_gradients_of_the_risk(prior):
+    rng = np.random.default_rng(4)
+    p, u = rng.standard_normal((7, 5)), rng.standard_normal((11, 5))
+    for seed in range(6):
+        layers = quality_model.start(5, seed)
+        value, negative, gradients = quality_model.risk(layers, p, u, prior, decay=0.0)
+        # where the negatives' part is below zero a step follows the gradient of its negative alone
+        aim = (lambda ls: quality_model.risk(ls, p, u, prior, 0.0)[0]) if negative >= 0 else (lambda ls: -quality_model.risk(ls, p, u, prior, 0.0)[1])
+        for k, g in enumerate(gradients):
+            for at in np.ndindex(g.shape):
+                moved = [[w.copy() for w in layers] for _ in range(2)]
+                moved[0][k][at] += 1e-6
+                moved[1][k][at] -= 1e-6
+                assert abs((aim(moved[0]) - aim(moved[1])) / 2e-6 - g[at]) < 1e-5
+
+
+def test_prior_of_tails():
+    rng = np.random.default_rng(5)
+    positives, unlabelled = rng.normal(2, 1, 3000), np.concatenate([rng.normal(2, 1, 4000), rng.normal(-2, 1, 6000)])
+    cuts = quality_model.tail_cuts(positives)
+    above = np.array([(unlabelled >= c).sum() for c in cuts])
+    brute = min(((unlabelled >= c).mean() + np.sqrt(np.log(20) / 6000) + np.sqrt(np.log(20) / 20000)) / (positives >= c).mean() for c in cuts)
+    found = quality_model.estimate_prior(positives, cuts, above, len(unlabelled))
+    assert abs(found - 0.4) < 0.03 and found < brute
+
+
 def test_lm_base_score(spark, docs, empty):
     some = docs.where("doc_id IS NOT NULL")
     got = {r.doc_id: r for r in lm_scoring.scored(some, tokenizer_path()).collect()}
