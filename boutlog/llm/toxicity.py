@@ -76,15 +76,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -50, 50)))
 
 
-def fit(held: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0.5, batch: int = 64, seed: int = 1) -> ToxicityModel:
-    if not len(held) or labels.min() == labels.max():
-        p = 0.5 if not len(held) else float(np.clip(labels.mean(), 0.01, 0.99))
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's words and n-grams, and the share of each."""
+    b = np.concatenate([u for _, u in _Bag([text]).buckets()] or [np.zeros(0, np.int32)])
+    values, n = np.unique(b, return_counts=True)
+    return values, (n / max(1, n.sum())).astype(np.float32)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.5, batch: int = 64, seed: int = 1) -> ToxicityModel:
+    """The model of bags and their labels."""
+    if not len(rows) or labels.min() == labels.max():
+        p = 0.5 if not len(rows) else float(np.clip(labels.mean(), 0.01, 0.99))
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
-    rows = []
-    for x in held:
-        b = np.concatenate([u for _, u in _Bag([x]).buckets()] or [np.zeros(0, np.int32)])
-        values, n = np.unique(b, return_counts=True)
-        rows.append((values, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     embed = (rng.standard_normal((1 << BITS, DIM)) / DIM).astype(np.float32)
     soft = np.stack([-np.ones(DIM), np.ones(DIM)], 1).astype(np.float32) * 0.5
@@ -130,11 +133,23 @@ def fit(held: list[bytes], labels: np.ndarray, epochs: int = 12, rate: float = 0
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample`` of the labelled rows: half of each class, or all of one that has fewer."""
+    """Fit on at most ``sample`` of the labelled ids: half of each class, or all of one that has fewer.
+
+    Bags are made where texts are read, one of each id (the least, if its rows differ): what reaches the driver is at most
+    ``sample`` bags of distinct buckets, however long a text is or often an id occurs.
+    """
     rows = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_label")).dropna().groupBy(key).agg(F.max("_label").alias("_label"))
     ids = first_by_hash(rows.where("_label = 1"), key, sample // 2).unionByName(first_by_hash(rows.where("_label = 0"), key, sample // 2))
-    got = texts_of(docs, ids, key, text).orderBy(key).select("_text", "_label").collect()
-    return fit([r[0].encode() for r in got], np.array([r[1] for r in got], np.int64))
+    found = texts_of(docs, ids, key, text).select(F.col(key).alias("id"), "_label", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [bag((x.as_py() or "").encode()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["id", "label", "buckets", "shares"])
+
+    bags = found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, label int, buckets array<int>, shares array<float>")
+    got = bags.groupBy("id").agg(F.min(F.struct("buckets", "shares", "label")).alias("one")).orderBy("id").select("one.*").collect()
+    return fit([(np.array(r["buckets"], np.int32), np.array(r["shares"], np.float32)) for r in got], np.array([r["label"] for r in got], np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
