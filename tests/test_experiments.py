@@ -34,7 +34,7 @@ def test_a_season_is_predicted_from_earlier_ones_only(spark):
     sample = spark.createDataFrame(data, "match_num long, season int, y int, x1 double")
     for s, train, test in models.season_folds(sample, [1992, 1993]):
         assert train.agg(F.max("season")).first()[0] < s and {r.season for r in test.select("season").distinct().collect()} == {s}
-    walked = models.walk_forward(sample, [1992, 1993], {"base": (["x1"], models.forest(3, 2))})
+    walked = models.walk_forward(sample, [1992, 1993], {"base": models.Variant(["x1"], models.forest(3, 2))})
     right = {r.season: r.a for r in walked.groupBy("season").agg(F.avg("correct").alias("a")).collect()}
     assert right[1992] > 0.9 and right[1993] < 0.5  # in 1993 the sign turns: nothing of it was learnt
     table = models.chosen(models.read_out(sample.withColumn("tourney_date", F.make_date("season", F.lit(1), F.pmod("match_num", F.lit(28)).cast("int") + 1)), {"a": models.forest(3, 2), "b": models.forest(1, 1)}, ["x1"], folds=2)).collect()
