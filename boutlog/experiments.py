@@ -91,7 +91,7 @@ def _reports(walked: DataFrame, base: str, others: Sequence[str]) -> DataFrame:
     return out
 
 
-def baseline_pipeline(m: DataFrame, draws: int = 50, space: dict = SMALL_SPACE) -> DataFrame:
+def baseline_pipeline(m: DataFrame, draws: int = 10, space: dict = SMALL_SPACE) -> DataFrame:
     """From log to evaluated model: features, split in time, search with refit, calibration on the validation part, evaluation on the test part.
 
     A row for the raw and one for the calibrated probabilities, with the chosen setting and its log-loss over the folds.
