@@ -135,21 +135,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 def fit_labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` of the labelled ids: half of each class, or all of one that has fewer.
 
-    Bags are made where texts are read, one of each id (the least, if its rows differ): what reaches the driver is at most
-    ``sample`` bags of distinct buckets, however long a text is or often an id occurs.
+    One text of each id (the least, if its rows differ) is turned into its bag as it arrives, a partition at a time; what the driver
+    keeps is at most ``sample`` bags of distinct buckets, however long a text is or often an id occurs.
     """
     rows = labels.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_label")).dropna().groupBy(key).agg(F.max("_label").alias("_label"))
     ids = first_by_hash(rows.where("_label = 1"), key, sample // 2).unionByName(first_by_hash(rows.where("_label = 0"), key, sample // 2))
-    found = texts_of(docs, ids, key, text).select(F.col(key).alias("id"), "_label", "_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [bag((x.as_py() or "").encode()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["id", "label", "buckets", "shares"])
-
-    bags = found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, label int, buckets array<int>, shares array<float>")
-    got = bags.groupBy("id").agg(F.min(F.struct("buckets", "shares", "label")).alias("one")).orderBy("id").select("one.*").collect()
-    return fit([(np.array(r["buckets"], np.int32), np.array(r["shares"], np.float32)) for r in got], np.array([r["label"] for r in got], np.int64))
+    one = texts_of(docs, ids, key, text).groupBy(F.col(key).alias("id")).agg(F.min("_text").alias("text"), F.max("_label").alias("label")).orderBy("id")
+    bags, known = [], []
+    for r in one.toLocalIterator():
+        bags.append(bag(r["text"].encode()))
+        known.append(r["label"])
+    return fit(bags, np.array(known, np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
