@@ -99,3 +99,12 @@ def test_lm_score_of_junk_is_below_prose(spark):
         ids = [x for w in texts[i].split() for x in tokenizer.encode(" " + w, add_special_tokens=False).ids] + [model.end]
         assert abs(got[i].score - sum(plain(model, ids)) / math.log(10)) < 1e-2
         assert abs(got[i].flat_score - model.single[ids].sum() / math.log(10)) < 1e-6
+
+
+def test_ids_of_words_are_those_of_each_alone():
+    words = [b" " + w.encode() for w in ["the", "<|endoftext|>x", "été", "don't", "a\x1cb", "　wide", "12345", "!!", "ß z", "🙂🙂", letters(40), "x"]]
+    tokenizer = encoder(tokenizer_path()).tokenizer
+    for some in (words, [w for w in words if b"|" not in w and b"\x1c" not in w and b"\xe3\x80" not in w and b"\xc2\xa0" not in w], [b" one"]):
+        ids, lengths = lm_scoring.WordIds(tokenizer_path()).ids_of(some)
+        each = [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in some]
+        assert ids.tolist() == [x for e in each for x in e] and lengths.tolist() == [len(e) for e in each]
