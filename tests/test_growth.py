@@ -35,3 +35,12 @@ def test_one_use_does_not_make_all_pairs(spark, fallback):
     n = 20_000  # 400 million pairs
     got = resolution.match_once(*copies(spark, n), fallback=fallback).collect()
     assert len(got) == n == len({r.feed_id for r in got}) == len({r.match_num for r in got})
+
+
+def test_either_way_does_not_make_all_pairs(spark):
+    n = 20_000
+    a = spark.range(n).select("id", F.lit(DAY).alias("day"), F.lit("Ann Moss").alias("n1"), F.lit("Bea Lee").alias("n2"))
+    one = spark.createDataFrame([(-1, DAY, "Cid Kay", "Dan Poe")], "id long, day date, n1 string, n2 string")
+    b = a.select((F.col("id") + 10**6).alias("other"), "day", F.col("n2").alias("n1"), F.col("n1").alias("n2"))
+    got = resolution.unique_either_way(a.unionByName(one), b.unionByName(one.select((F.col("id") - 6).alias("other"), "day", F.col("n2").alias("n1"), F.col("n1").alias("n2")))).collect()
+    assert [tuple(r) for r in got] == [(-1, -7)]
