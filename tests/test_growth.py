@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from boutlog.operators import resolution
+from boutlog import registry
+from boutlog.operators import history, resolution
 
 DAY = dt.date(2001, 3, 1)
 
@@ -44,3 +45,18 @@ def test_either_way_does_not_make_all_pairs(spark):
     b = a.select((F.col("id") + 10**6).alias("other"), "day", F.col("n2").alias("n1"), F.col("n1").alias("n2"))
     got = resolution.unique_either_way(a.unionByName(one), b.unionByName(one.select((F.col("id") - 6).alias("other"), "day", F.col("n2").alias("n1"), F.col("n1").alias("n2")))).collect()
     assert [tuple(r) for r in got] == [(-1, -7)]
+
+
+def test_context_features_sort_once_for_each_key_set(spark):
+    # the plan that Spark prepares, with adaptive execution's own part left out
+    plan = history.extended(registry.matches_of(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [player") <= 10  # one for each of six key sets, and the orders of matches; 40 and more before
+
+
+def test_parts_follow_the_input(spark, tmp_path):
+    from boutlog.session import dealt
+
+    spark.range(300_000).repartition(1).write.parquet(str(tmp_path / "a b"))
+    df = spark.read.parquet(str(tmp_path / "a b"))
+    few, many = (dealt(df, "id", part_bytes=n).rdd.getNumPartitions() for n in (1 << 20, 1 << 16))
+    assert many > 8 * few
