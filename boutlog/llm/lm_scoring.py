@@ -12,8 +12,8 @@ probabilities sum to one at each position. ``score`` is the sum of the log10 pro
 included: each id is scored once, by the attention and nothing else. Long texts are scored in overlapping windows: each
 query sees at least ``STRIDE`` ids before it, many windows at a time with one mask.
 
-Classes and shares come from counts over all training rows. The parameters are trained by Adam on one in ``SHARE`` of the
-training texts, whole, so what they learn from grows with the corpus: the texts are dealt to tasks, each starts from the
+Classes and shares come from counts over all training rows. The parameters are trained by Adam on all
+training texts, each once and whole: the texts are dealt to tasks, each starts from the
 class pairs of its first texts and goes over all of its texts once, and the parameters are averaged by Spark, in ``ROUNDS``
 rounds on different texts.
 
@@ -46,7 +46,7 @@ from boutlog.llm.textkit import Block, mix, texts
 from boutlog.session import discard, stored
 
 WINDOW, STRIDE, DIM, CLASSES = 32, 16, 16, 64
-SHARE, ROUNDS, BATCH = 16, 2, 64
+ROUNDS, BATCH = 2, 64
 RATE, IN_CLASS_RATE = 0.03, 0.15
 PER_ID = "embed", "before", "after"
 TRAINER_BYTES, TRAINERS = 16 << 20, 4096  # text of one task in training, and the most tasks; beyond, each has more text
@@ -460,7 +460,7 @@ def gather(docs: DataFrame, training: str, tokenizer: str, key: str = "doc_id",
 
 
 def fit(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", counted: Counted | None = None) -> AttentionModel:
-    """Counted over all rows (if they are not counted yet), trained on one in SHARE of them."""
+    """Counted over all rows (if they are not counted yet), trained on all of them."""
     vocabulary = encoder(tokenizer).tokenizer.get_vocab()
     end = vocabulary["<|endoftext|>"]
     starts_word = np.zeros(len(vocabulary), bool)
@@ -471,8 +471,8 @@ def fit(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text"
     single = np.log((totals + 0.05) / (totals + 0.05).sum())
     parameters = initial(totals, of_class)
     dealt = docs.select(F.coalesce(F.col(text), F.lit("")).cast("string").alias("_text"), F.xxhash64(F.col(key), F.col(text), F.lit(11)).alias("_deal"))
-    nth = F.pmod("_deal", F.lit(SHARE * ROUNDS))
-    sizes = dict(dealt.where(nth < ROUNDS).groupBy(nth.alias("r")).agg(F.sum(F.octet_length("_text"))).collect())
+    nth = F.pmod("_deal", F.lit(ROUNDS))
+    sizes = dict(dealt.groupBy(nth.alias("r")).agg(F.sum(F.octet_length("_text"))).collect())
     for r in range(ROUNDS):
         if sizes.get(r):
             trainers = min(TRAINERS, -(-sizes[r] // TRAINER_BYTES))

@@ -108,3 +108,17 @@ def test_ids_of_words_are_those_of_each_alone():
         ids, lengths = lm_scoring.WordIds(tokenizer_path()).ids_of(some)
         each = [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in some]
         assert ids.tolist() == [x for e in each for x in e] and lengths.tolist() == [len(e) for e in each]
+
+
+def test_every_training_text_is_learnt_from(spark, monkeypatch):
+    seen = []
+    one_round = lm_scoring._one_round
+
+    def noted(texts_, *args):
+        seen.extend(r[0] for r in texts_.collect())
+        return one_round(texts_, *args)
+
+    monkeypatch.setattr(lm_scoring, "_one_round", noted)
+    given = [f"{letters(4)} {letters(3)} {i}" for i in range(40)]
+    lm_scoring.fit(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), tokenizer_path())
+    assert sorted(seen) == sorted(given)
