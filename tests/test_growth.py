@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boutlog import registry
 from boutlog.operators import history, resolution
+from boutlog.plans import models
 
 DAY = dt.date(2001, 3, 1)
 
@@ -60,3 +61,8 @@ def test_parts_follow_the_input(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "a b"))
     few, many = (dealt(df, "id", part_bytes=n).rdd.getNumPartitions() for n in (1 << 20, 1 << 16))
     assert many > 8 * few
+
+
+def test_fewer_fits_run_at_once_on_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_AT_ONCE", 1000)
+    assert [models.fits_at_once(spark.range(n)) for n in (0, 10, 300, 5000)] == [8, 8, 3, 1]
