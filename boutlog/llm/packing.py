@@ -31,6 +31,7 @@ from boutlog.llm.textkit import Block, texts
 CAPACITY, MAX_PIECE, LEAST_PIECE, GROUP, END_ID = 2048, 512, 96, 4096, 1
 TOKENIZER = "byte_bpe_50k.json"
 _SLOTS = 20
+_LATE = 1 << 14  # runs in the dictionary before they join the arrays
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 #: White space beyond ASCII, and controls that only some engines count as such; texts with it are encoded whole.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xa4]|\xe3\x80\x80|\xef\xbb\xbf")
@@ -41,7 +42,7 @@ class Encoder:
 
     A run is white space with the word after it. The tokenizer never joins what stands before a run's
     white space with it, so a text's ids are its runs' ids in order, and only new runs are encoded.
-    Runs are told apart by 64-bit hashes. A text that spells a special token is encoded whole, as the tokenizer takes it.
+    Runs are told apart by 64-bit hashes, kept in order in arrays (12 bytes a run), and the latest in a dictionary. A text that spells a special token is encoded whole, as the tokenizer takes it.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
@@ -58,14 +59,33 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash of a run -> its number
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of runs in order, and each run's number
+        self.late: dict[int, int] = {}  # the same of the latest runs
         self.ids = np.zeros(1 << 16, "<u4")  # ids of all runs
-        self.key, self.value = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int64)  # the last run seen in each slot, before ``known`` is asked
+        self.key, self.value = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32)  # the last run seen in each slot, asked first
         self.at = np.zeros(1 << 16, np.int64)  # where those of each run begin (one more than runs)
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def __len__(self) -> int:
+        """How many runs it knows."""
+        return len(self.hashes) + len(self.late)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each run, -1 for new ones."""
+        if len(self.late) > _LATE:
+            hashes_, numbers = (np.concatenate([old, np.fromiter(new, old.dtype, len(self.late))]) for old, new in ((self.hashes, self.late), (self.numbers, self.late.values())))
+            order = np.argsort(hashes_, kind="stable")
+            self.hashes, self.numbers, self.late = hashes_[order], numbers[order], {}
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == hashes, self.numbers[at], out)
+        left = np.flatnonzero(out < 0)
+        out[left] = [self.late.get(h, -1) for h in hashes[left].tolist()]
+        return out
+
     def _learn(self, hashes: list[int], runs: list[bytes]) -> None:
         inner = np.fromiter((r[0] in _SPACE and r[-1] not in _SPACE for r in runs), bool, len(runs))
         which = [*np.flatnonzero(inner).tolist(), *np.flatnonzero(~inner).tolist()]
@@ -79,7 +99,7 @@ class Encoder:
         alone = self.whole([runs[i] for i in which[int(inner.sum()) :]])
         parts += alone
         lengths.append(np.fromiter(map(len, alone), np.int64, len(alone)))
-        new, n = np.concatenate([np.zeros(0, "<u4"), *parts]), len(self.known)
+        new, n = np.concatenate([np.zeros(0, "<u4"), *parts]), len(self)
         ends = self.at[n] + np.cumsum(np.concatenate(lengths))
         while len(self.ids) < self.at[n] + len(new):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -87,14 +107,14 @@ class Encoder:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.ids[self.at[n] : self.at[n] + len(new)] = new
         self.at[n + 1 : n + 1 + len(which)] = ends
-        self.known.update(zip((hashes[i] for i in which), range(n, n + len(which))))
+        self.late.update(zip((hashes[i] for i in which), range(n, n + len(which))))
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.odd.search(b"\n".join(texts)):
             odd = [bool(self.odd.search(t)) for t in texts]
             plain = iter(self.batch([b"" if o else t for o, t in zip(odd, texts)]))
             return [self.whole([t])[0] if o else ids for o, t, ids in zip(odd, texts, plain)]
-        if len(self.known) > self.most:
+        if len(self) > self.most:
             self.forget()
         block = Block(texts, lower=False)
         _, ends, _ = block.words()
@@ -113,16 +133,15 @@ class Encoder:
             order = np.argsort(hashes[missed], kind="stable")
             ordered = hashes[missed][order]
             change = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            first, listed, get = missed[order[change]], ordered[change].tolist(), self.known.get
-            numbers = [get(h, -1) for h in listed]
-            new = [i for i, x in enumerate(numbers) if x < 0]
-            if new:
-                data, a, b = block.data.tobytes(), left[first[new]].tolist(), right[first[new]].tolist()
-                self._learn([listed[i] for i in new], [data[x:y] for x, y in zip(a, b)])
-                for i in new:
-                    numbers[i] = self.known[listed[i]]
+            first, listed = missed[order[change]], ordered[change]
+            numbers = self.find(listed)
+            new = np.flatnonzero(numbers < 0)
+            if len(new):
+                data, a, b, hashed = block.data.tobytes(), left[first[new]].tolist(), right[first[new]].tolist(), listed[new].tolist()
+                self._learn(hashed, [data[x:y] for x, y in zip(a, b)])
+                numbers[new] = [self.late[h] for h in hashed]
             found = np.empty(len(missed), np.int64)
-            found[order] = np.array(numbers, np.int64)[np.cumsum(change) - 1]
+            found[order] = numbers[np.cumsum(change) - 1]
             which[missed] = found
             self.key[slots[missed]], self.value[slots[missed]] = hashes[missed], found
         at, n = self.at[which], self.at[which + 1] - self.at[which] if len(which) else np.zeros(0, np.int64)
