@@ -81,6 +81,30 @@ def test_search_refits_the_chosen_one(spark, sample, tmp_path):
     assert all(0.5 < r.auc <= 1 and r.n == 150 for r in rows)
 
 
+def test_metrics_predict_once(spark):
+    rows = [(i % 7 / 7 if i % 5 else float(i % 2), int(RND.random() < 0.4)) for i in range(500)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(p):
+        calls.add(1)
+        return p
+
+    got = models.metrics_of(spark.createDataFrame(rows, "p double, y int").withColumn("p", F.udf(seen, "double")("p")))
+    clip = lambda p: min(1 - 1e-15, max(1e-15, p))
+    pairs = [(p, q) for p, y in rows for q, z in rows if y == 1 and z == 0]
+    want = {"n": 500, "accuracy": sum((p > 0.5) == y for p, y in rows) / 500, "brier": sum((p - y) ** 2 for p, y in rows) / 500, "log_loss": -sum(math.log(clip(p) if y else 1 - clip(p)) for p, y in rows) / 500, "auc": sum((p > q) + (p == q) / 2 for p, q in pairs) / len(pairs)}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    assert calls.value == 500  # 2,000 and more before: each metric's pass predicted again
+
+
+def test_vectors_are_assembled_once_for_all_fits(spark, sample, monkeypatch):
+    made = []
+    real = models.VectorAssembler
+    monkeypatch.setattr(models, "VectorAssembler", lambda **k: made.append(k["inputCols"]) or real(**k))
+    models.read_out(sample, {"a": models.forest(2, 1), "b": models.boosting(2, 2), "c": models.logistic()}, ["x1", "x2"], folds=2)
+    assert made == [["x1", "x2"]]  # 6 before, one a fit
+
+
 def test_walk_forward_takes_all_seasons_but_the_first(sample):
     walked = models.walk_forward(sample, experiments._seasons(sample), {"a": models.Variant(["x1"], models.forest(3, 2)), "b": models.Variant(["x1", "code"], models.forest(3, 2), ["code"])})
     assert {(r.season, r.variant) for r in walked.select("season", "variant").distinct().collect()} == {(s, v) for s in range(1991, 1996) for v in "ab"}
