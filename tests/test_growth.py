@@ -66,3 +66,30 @@ def test_parts_follow_the_input(spark, tmp_path):
 def test_fewer_fits_run_at_once_on_more_rows(spark, monkeypatch):
     monkeypatch.setattr(models, "ROWS_AT_ONCE", 1000)
     assert [models.fits_at_once(spark.range(n)) for n in (0, 10, 300, 5000)] == [8, 8, 3, 1]
+
+
+def test_recent_means_are_in_methods_that_are_compiled(spark):
+    # arrays of earlier matches were filtered and summed by interpreted lambdas; one method over all lags is over what HotSpot compiles
+    plan = history.with_serve(history.with_form(history.player_view(registry.matches_of(spark, "/root/testdata/sf0.001"))))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_recent_means_equal_a_loop(spark):
+    rnd = random.Random(5)
+    start = dt.date(2000, 1, 1)
+    days = sorted(start + dt.timedelta(days=rnd.choice([0, 3, 120, 400]) + rnd.randrange(1500)) for _ in range(60))
+    made = [(i, d, "P", rnd.choice(["Clay", "Hard"]), float(rnd.randrange(2)), *(rnd.choice([None, rnd.random()]) for _ in history.SHARES)) for i, d in enumerate(days)]
+    view = spark.createDataFrame(made, "match_num long, tourney_date date, player string, surface string, is_win double, " + ", ".join(f"{s} double" for s in history.SHARES))
+    got = history.with_surface_form(history.with_serve(history.with_form(view))).orderBy("match_num").collect()
+
+    def mean(values, empty):
+        values = [v for v in values if v is not None]
+        return sum(values) / len(values) if values else empty
+
+    for i, r in enumerate(got):
+        recent = lambda rows: [x for x in rows[-10:] if x[1] >= r.tourney_date - dt.timedelta(days=365)]
+        all_, there = recent(made[:i]), recent([x for x in made[:i] if x[3] == r.surface])
+        assert r.form == mean([x[4] for x in all_], 0.5)
+        assert r.surface_form == (mean([x[4] for x in there], None) if len(there) >= 3 else r.form)
+        assert [r[f"avg_{s}"] for s in history.SHARES] == pytest.approx([mean([x[5 + j] for x in all_], history.SERVE_PRIORS[s]) for j, s in enumerate(history.SHARES)], abs=1e-15)
