@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from boutlog.operators import market_feed
 from boutlog.registry import register
-from boutlog.session import shared_folder
+from boutlog.session import discard, shared_folder, stored
 from boutlog.sources.feeds import read_feed
 from boutlog.streaming import upserts
 
@@ -101,23 +101,29 @@ SLICES = 3
 _ADDED = (0.0, 0.25, 0.5)  # prices of a later slice differ, so that what is kept of a match shows where it came from
 
 
-def _slice(m: DataFrame, k: int) -> DataFrame:
+def _slice(prices: DataFrame, k: int) -> DataFrame:
     """Rows of the k-th delivery: two thirds of the log, a fifth of them twice; the local books come with later ones."""
-    rows = priced(m).where((F.col("match_num") % SLICES == k) | (F.col("match_num") % 2 == k % 2)).select("season", "match_key", "match_num", "B365_winner", "B365_loser", "STS_winner", "STS_loser")
+    rows = prices.where((F.col("match_num") % SLICES == k) | (F.col("match_num") % 2 == k % 2))
     moved = rows.withColumns({c: F.col(c) + _ADDED[k] for c in rows.columns[3:]})
     moved = moved.drop("STS_winner", "STS_loser") if k == 0 else moved
-    again = moved.where(F.col("match_num") % 5 == 0).withColumns({"B365_winner": F.lit(99.0), "arrived": F.lit(2)})
-    return moved.withColumn("arrived", F.lit(1)).unionByName(again)
+    first = F.struct(F.col("B365_winner"), F.lit(1).alias("arrived"))
+    again = F.when(F.col("match_num") % 5 == 0, F.array(first, F.struct(F.lit(99.0).alias("B365_winner"), F.lit(2).alias("arrived")))).otherwise(F.array(first))
+    return moved.select(*[c for c in moved.columns if c != "B365_winner"], F.inline(again)).select(*moved.columns, "arrived")
 
 
 def incremental_upsert(m: DataFrame) -> DataFrame:
-    """The table after three deliveries, each a run of the stream over what is new, the last one delivered twice."""
+    """The table after three deliveries, each a run of the stream over what is new, the last one delivered twice.
+
+    Deliveries are made from prices that are stored once, not from the log anew.
+    """
     spark = m.sparkSession
+    prices = stored(priced(m).select("season", "match_key", "match_num", "B365_winner", "B365_loser", "STS_winner", "STS_loser"))
     home = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
-    schema = _slice(m, 1).schema
+    schema = _slice(prices, 1).schema
     for k in (*range(SLICES), SLICES - 1):
-        _slice(m, k).write.mode("append").parquet(f"{home}/feed")
+        _slice(prices, k).write.mode("append").parquet(f"{home}/feed")
         upserts.upsert_stream(spark.readStream.schema(schema).parquet(f"{home}/feed"), f"{home}/table", f"{home}/checkpoint", "match_key", "season", "arrived", market_feed.with_averages)
+    discard(prices)
     table = upserts.read_table(spark, f"{home}/table")
     return table.select(F.col("season").cast("long").alias("season"), "match_key", "match_num", *_UPSERTED)
 

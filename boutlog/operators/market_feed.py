@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from boutlog.functions.columns import without_last_bits
 from boutlog.operators.odds import cascade
 from boutlog.sources.feeds import Feed
 
@@ -26,7 +27,7 @@ def rounded_mean(columns: Sequence[Column]) -> Column:
     """Mean of the non-null values to two places, halves up; null without any."""
     total = sum((F.coalesce(c, F.lit(0.0)) for c in columns[1:]), F.coalesce(columns[0], F.lit(0.0)))
     n = sum((c.isNotNull().cast("int") for c in columns[1:]), columns[0].isNotNull().cast("int"))
-    return F.when(n > 0, F.floor(F.round(total / n * 100, 6) + 0.5) / 100)
+    return F.when(n > 0, F.floor(without_last_bits(total / n * 100, 6) + 0.5) / 100)
 
 
 def with_averages(feed: DataFrame) -> DataFrame:
